@@ -24,17 +24,17 @@ WITH RECURSIVE state(it, k, tok) AS (
   UNION ALL
     (WITH now AS MATERIALIZED (SELECT it, k, tok FROM state),
     best AS MATERIALIZED (
-        SELECT a.k >> 20 AS w, min(m.merged << 20 | a.k & 1048575) AS b
-        FROM now a JOIN now n ON n.k = a.k + 1 JOIN merges m ON m.pair = a.tok << 20 | n.tok
-        GROUP BY a.k >> 20
+        SELECT (a.k >> 20) AS w, min((m.merged << 20) | (a.k & 1048575)) AS b
+        FROM now a JOIN now n ON n.k = a.k + 1 JOIN merges m ON m.pair = ((a.tok << 20) | n.tok)
+        GROUP BY (a.k >> 20)
     )
-    SELECT it + 1, CASE WHEN k & 1048575 > b & 1048575 THEN k - 1 ELSE k END, CASE WHEN k & 1048575 = b & 1048575 THEN b >> 20 ELSE tok END
-    FROM now JOIN best ON now.k >> 20 = best.w
-    WHERE k & 1048575 <> (b & 1048575) + 1)
+    SELECT it + 1, CASE WHEN (k & 1048575) > (b & 1048575) THEN k - 1 ELSE k END, CASE WHEN (k & 1048575) = (b & 1048575) THEN (b >> 20) ELSE tok END
+    FROM now JOIN best ON (now.k >> 20) = best.w
+    WHERE (k & 1048575) <> (b & 1048575) + 1)
 ),
-last AS (SELECT k >> 20 AS w, max(it) AS it FROM state GROUP BY k >> 20)
+last AS (SELECT (k >> 20) AS w, max(it) AS it FROM state GROUP BY (k >> 20))
 SELECT w, string_agg(state.tok::VARCHAR, ' ' ORDER BY k) AS ids, string_agg(v.hex, '' ORDER BY k) AS hex
-FROM state JOIN last ON last.w = state.k >> 20 AND last.it = state.it JOIN vocab v ON v.tok = state.tok
+FROM state JOIN last ON last.w = (state.k >> 20) AND last.it = state.it JOIN vocab v ON v.tok = state.tok
 GROUP BY w
 """
 
@@ -110,7 +110,7 @@ class Codec:
 
         It stops, and leaves the rest to the recursive query, when a merge would make a pair of a lower rank.
         """
-        find = "SELECT m.merged FROM pairs p LEFT JOIN merges m ON m.pair = p.l << 20 | p.r ORDER BY p.i"
+        find = "SELECT m.merged FROM pairs p LEFT JOIN merges m ON m.pair = ((p.l << 20) | p.r) ORDER BY p.i"
         while len(tok) > 512:
             self._load("pairs", pa.table({"i": np.arange(len(tok) - 1), "l": tok[:-1], "r": tok[1:]}))
             rank = self.db.execute(find).fetchnumpy()["merged"]
