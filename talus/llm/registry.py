@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, exact_dedup, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+}
