@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_packing": packing.op10_packing,
 }
 
