@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, packing, quality, toxicity
+from . import bpe, exact_dedup, line_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_packing": packing.op10_packing,
@@ -14,4 +15,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
 }
