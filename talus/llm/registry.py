@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality, toxicity
+from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_suffix_dedup": suffix_dedup.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
 }
