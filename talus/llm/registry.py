@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
+from . import bpe, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_html_text": html_text.op4_html_text,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
