@@ -7,8 +7,8 @@ share one with a chance of 2^-64).  Spark deals positions out by name and sorts
 
 1. at BASE bytes, only the minimal name of each window of `length` bytes is dealt out.  A string that repeats has the
    same minimal name at both places, so windows whose minimal name is unique among the texts are done;
-2. at `length` bytes, the names of all windows that are left are dealt out; whoever holds a name and is not in the
-   smallest document marks its position.
+2. at `length` bytes, all windows that are left are dealt out by their minimal name, a run of neighbours as the text
+   that it covers, and sorted by name; whoever holds a name and is not in the smallest document marks its position.
 
 Positions travel in packed blocks of numbers.  What a task can settle on its own it does not deal out: of a string
 that many documents of one task share, a single record goes on, so that frequent strings make no large bucket.
@@ -90,6 +90,27 @@ def _pack(columns: dict[str, np.ndarray], to: np.ndarray, name: str, extra: dict
     yield pa.RecordBatch.from_pydict(out)
 
 
+def _runs(doc: np.ndarray, pos: np.ndarray, low: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of neighbouring positions of one document (and one minimal name): document, start, length, place."""
+    if not len(doc):
+        return doc, pos.astype(np.int64), pos.astype(np.int64), np.zeros(0, np.int64)
+    new = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    if low is not None:
+        new |= low[1:] != low[:-1]
+    head = np.flatnonzero(np.r_[True, new])
+    return doc[head], pos[head].astype(np.int64), np.diff(np.r_[head, len(doc)]).astype(np.int64), head
+
+
+def _not_first(name: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether a smaller document holds the same name: sorted by name and document, in the given order again."""
+    by = np.lexsort((order, name))
+    n, o = name[by], order[by]
+    new = np.r_[True, n[1:] != n[:-1]]
+    out = np.empty(len(name), bool)
+    out[by] = o > o[new][np.cumsum(new) - 1]
+    return out
+
+
 def _unpack(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in t.column(name).to_pylist()), kind)
 
@@ -147,6 +168,8 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
             h, at, new_h = h[one], at[one], new_h[one]
             group = np.cumsum(new_h) - 1
             shared = np.bincount(group)[group] > 1
+            order = np.argsort(at, kind="stable")  # by document: what repeats packs well
+            h, at, new_h, shared = h[order], at[order], new_h[order], shared[order]
             send = ~shared | new_h
             to = (h[send] >> np.uint64(40)).astype(np.int64) % buckets
             yield from _pack({"h": h[send], "fp": np.where(shared, 0, fp[at])[send], "rid": np.where(shared, 0, rid[at])[send]}, to, "bucket", {"kind": 0})
@@ -181,7 +204,7 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         lo_at, hi_at = np.searchsorted(s_rid, rid, "left"), np.searchsorted(s_rid, rid, "right")
         use = [i for i in once if hi_at[i] > lo_at[i] and rid[i] not in gone]
         sizes = np.array([len(data[i]) for i in use], np.int64)
-        names, whose, where = [], [], []
+        names, whose, where, lows = [], [], [], []
         for lo, hi in _cut(sizes, SLICE_BYTES):
             base, h = doubled(np.frombuffer(b"".join(data[i] for i in use[lo:hi]), np.uint8), BASE)
             low = sliding_min(base, length - BASE + 1)
@@ -193,60 +216,68 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
                 mine = low[at : at + n - length + 1]
                 hit = np.flatnonzero(own_h[np.minimum(np.searchsorted(own_h, mine), len(own_h) - 1)] == mine)
                 names.append(name[at + hit])
+                lows.append(mine[hit])
                 whose.append(np.full(len(hit), i))
                 where.append(hit)
                 at += n
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("name", pa.binary()), ("ord", pa.binary()), ("rid", pa.binary()), ("pos", pa.binary())])
-        if not names:
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ord", pa.binary()), ("rid", pa.binary()), ("run", pa.binary()), ("data", pa.binary())])
+        if not names or not sum(map(len, names)):
             return schema.empty_table()
-        name, doc, pos = np.concatenate(names), np.concatenate(whose), np.concatenate(where).astype(np.int32)
-        order = np.lexsort((first[doc], name))
-        name, doc, pos = name[order], doc[order], pos[order]
-        new = np.r_[True, name[1:] != name[:-1]] if len(name) else np.zeros(0, bool)
-        least = first[doc][new][np.cumsum(new) - 1]
-        repeat = first[doc] > least
+        name, low, doc, pos = np.concatenate(names), np.concatenate(lows), np.concatenate(whose), np.concatenate(where)
+        repeat = _not_first(name, first[doc])
         out = []
-        for part, k in ((~repeat, 0), (repeat, 1)):
-            order = np.lexsort((pos[part], doc[part]))  # neighbours in a text stay neighbours: that packs well
-            n, d, p = name[part][order], doc[part][order], pos[part][order]
-            to = (n >> np.uint64(40)).astype(np.int64) % buckets if k == 0 else _to_rid(rid[d], buckets)
-            out += _pack({"name": n if k == 0 else np.zeros(len(n), np.uint8), "ord": first[d], "rid": rid[d], "pos": p}, to, "bucket", {"kind": k})
+        d, start, size, _ = _runs(doc[repeat], pos[repeat])
+        out += _pack({"ord": first[d], "rid": rid[d], "run": start << 32 | size, "data": np.zeros(len(d), "S1")}, _to_rid(rid[d], buckets), "bucket", {"kind": 1})
+        # Of what is first here, the text itself goes on, from the run's first byte to its last window's end.
+        d, start, size, at = _runs(doc[~repeat], pos[~repeat], low[~repeat])
+        to = (low[~repeat][at] >> np.uint64(40)).astype(np.int64) % buckets
+        order = np.argsort(to, kind="stable")
+        d, start, size, to = d[order], start[order], size[order], to[order]
+        if len(d):
+            text = [data[i][p : p + n + length - 1] for i, p, n in zip(d.tolist(), start.tolist(), size.tolist(), strict=True)]
+            (packed,) = _pack({"ord": first[d], "rid": rid[d], "run": start << 32 | size}, to, "bucket", {"kind": 0})
+            cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
+            out.append(packed.append_column("data", pa.array([b"".join(text[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())))
         return pa.Table.from_batches([b.select(schema.names) for b in out], schema)
 
     def mark(t: pa.Table) -> pa.Table:
         known, t = t.filter(pa.compute.equal(t.column("kind"), 1)), t.filter(pa.compute.equal(t.column("kind"), 0))
-        name, first, rid, pos = _unpack(t, "name", "<u8"), _unpack(t, "ord", "<i8"), _unpack(t, "rid", "<i8"), _unpack(t, "pos", "<i4")
-        order = np.lexsort((first, name))
-        name, first, rid, pos = name[order], first[order], rid[order], pos[order]
-        if len(name):
-            new = np.r_[True, name[1:] != name[:-1]]
-            repeat = first > first[new][np.cumsum(new) - 1]
-            rid, pos = rid[repeat], pos[repeat]
-        rid, pos = np.r_[rid, _unpack(known, "rid", "<i8")], np.r_[pos, _unpack(known, "pos", "<i4")]
-        order = np.lexsort((pos, rid))
-        rid, pos = rid[order], pos[order]
+        first, rid, run = _unpack(t, "ord", "<i8"), _unpack(t, "rid", "<i8"), _unpack(t, "run", "<i8")
+        known_rid, known_run = _unpack(known, "rid", "<i8"), _unpack(known, "run", "<i8")
+        if len(run):
+            start, size = run >> 32, run & 0xFFFFFFFF
+            names, _ = doubled(_unpack(t, "data", np.uint8), length)
+            i = np.repeat(np.arange(len(run)), size)
+            step = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+            offset = np.cumsum(size + length - 1) - (size + length - 1)
+            repeat = _not_first(names[offset[i] + step], first[i])
+            w_rid, w_pos = rid[i[repeat]], start[i[repeat]] + step[repeat]
+            order = np.lexsort((w_pos, w_rid))
+            d, start, size, _ = _runs(w_rid[order], w_pos[order])
+            known_rid, known_run = np.r_[known_rid, d], np.r_[known_run, start << 32 | size]
         schema = pa.schema([("db", pa.int32()), ("rid", pa.binary()), ("h", pa.binary())])
-        out = _pack({"rid": rid, "h": pos}, _to_rid(rid, buckets), "db", {})
+        out = _pack({"rid": known_rid, "h": known_run}, _to_rid(known_rid, buckets), "db", {})
         return pa.Table.from_batches([b.select(schema.names) for b in out], schema)
 
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         right, gone = left_copies(right)
-        m_rid, m_pos = _unpack(right, "rid", "<i8"), _unpack(right, "h", "<i4").astype(np.int64)
-        order = np.lexsort((m_pos, m_rid))
-        m_rid, m_pos = m_rid[order], m_pos[order]
+        m_rid, m_run = _unpack(right, "rid", "<i8"), _unpack(right, "h", "<i8")
+        order = np.lexsort((m_run, m_rid))
+        m_rid, m_run = m_rid[order], m_run[order]
         rid = left.column("rid").to_numpy()
         lo, hi = np.searchsorted(m_rid, rid, "left"), np.searchsorted(m_rid, rid, "right")
         out: list[list] = [[] for _ in names]
         for i, x in enumerate(left.column("data").to_pylist()):
             n = len(x)
-            p = m_pos[lo[i] : hi[i]]
+            a = m_run[lo[i] : hi[i]] >> 32
+            b = np.maximum.accumulate(a + (m_run[lo[i] : hi[i]] & 0xFFFFFFFF) + length - 1)
             if rid[i] in gone and n >= length:
                 spans = [(0, n)]
-            elif len(p):
-                head = np.flatnonzero(np.r_[True, p[1:] > p[:-1] + length])
-                spans = list(zip(p[head].tolist(), (p[np.r_[head[1:] - 1, len(p) - 1]] + length).tolist(), strict=True))
+            elif len(a):
+                head = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
+                spans = list(zip(a[head].tolist(), b[np.r_[head[1:] - 1, len(b) - 1]].tolist(), strict=True))
             else:
                 spans = []
             left_over, at = [], 0
@@ -262,7 +293,7 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     found = docs.select("rid", F.xxhash64("data").alias("fp"), "ord", "data").mapInArrow(minima, "bucket int, kind int, h binary, fp binary, rid binary")
     survivors = found.groupBy("bucket").applyInArrow(settle, "db int, rid binary, h binary")
     by_doc = docs.select("db", "key", "rid", "ord", "data").groupBy("db")
-    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(windows, "bucket int, kind int, name binary, ord binary, rid binary, pos binary")
+    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(windows, "bucket int, kind int, ord binary, rid binary, run binary, data binary")
     marked = dealt.groupBy("bucket").applyInArrow(mark, "db int, rid binary, h binary")
     out = by_doc.cogroup(marked.unionByName(copies).groupBy("db")).applyInArrow(remove, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
     return out.withColumnRenamed("key", key)
