@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity
+from . import bpe, exact_dedup, html_text, line_dedup, ngram_join, packing, quality, suffix_dedup, toxicity, vector_dedup
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_quality": quality.op7_quality,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_packing": packing.op10_packing,
 }
 
@@ -21,4 +22,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_suffix_dedup": suffix_dedup.OP5_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op9_vector_dedup": vector_dedup.OP9_SQL,
 }
