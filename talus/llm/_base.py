@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import StorageLevel  # noqa: F401  (kept for callers that persist results themselves)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_scratch: list[tuple[object, str]] = []
+_scratch: list[tuple[object, str, str]] = []
+_owner = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/talus/{uuid.uuid4().hex}-{name}"
-    _scratch.append((spark.sparkContext, path))
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    if scratch:
+        _scratch.append((spark.sparkContext, path, _owner[-1]))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes the tables that `written` made.  Call it only when every result built on them has been stored."""
+@contextlib.contextmanager
+def scratch_of(owner: str) -> Iterator[None]:
+    """Tables written inside belong to this owner, for `drop_scratch`."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def drop_scratch(spark: SparkSession, owner: str) -> None:
+    """Deletes the tables that `written` made for this owner.  Call it only when every result built on them has been stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for i in range(len(_scratch) - 1, -1, -1):
-        if _scratch[i][0] is spark.sparkContext:
+        if _scratch[i][0] is spark.sparkContext and _scratch[i][2] == owner:
             path = jvm.org.apache.hadoop.fs.Path(_scratch[i][1])
             path.getFileSystem(conf).delete(path, True)
             del _scratch[i]
@@ -49,12 +62,6 @@ def own(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
-def spread(df: DataFrame, least: int = 0) -> DataFrame:
-    """Deals rows out evenly when the input has fewer partitions than the session has places for tasks."""
-    n = max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n) if df.rdd.getNumPartitions() < min(n, 8) else df
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

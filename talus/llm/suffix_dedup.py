@@ -115,19 +115,20 @@ def _unpack(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in t.column(name).to_pylist()), kind)
 
 
-def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", with_text: bool = True) -> DataFrame:
+def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id", with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes from each text every byte covered by a string of `length` bytes that also starts in a row of a smaller key.
 
-    One row per input row: key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if with_text, kept
-    (the remaining bytes).  Strings are judged on the input as UTF-8 bytes and never cross rows.  Null text counts as
+    One row per input row: key, the columns of `carry`, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256
+    and, if with_text, kept (the remaining bytes) and rest (these as text, without characters cut in two).  Strings are judged on the input as UTF-8 bytes and never cross rows.  Null text counts as
     empty; texts shorter than `length` stay whole; a null key counts as larger than any other; rows of one key leave
     each other alone, equal rows get equal answers.  Keys must be whole numbers.  Other columns are ignored; an empty
     table gives no rows.
     """
     spark = df.sparkSession
-    rows = own(df, key=key, text=text)
-    kind = dict(rows.dtypes)["key"]
-    docs = rows.select(F.col("key"), F.coalesce(F.col("key").cast("long"), F.lit(int(_LAST))).alias("ord"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
+    more = {f"carry{i}": c for i, c in enumerate(carry)}
+    rows = own(df, key=key, text=text, **more)
+    kinds = dict(rows.dtypes)
+    docs = rows.select(F.col("key"), *more, F.coalesce(F.col("key").cast("long"), F.lit(int(_LAST))).alias("ord"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     # Whole copies: the first row of equal texts stands for all of them.
     postings = docs.select("ord", F.sha2("data", 256).alias("sha"), F.xxhash64("ord", "data").alias("rid"), F.octet_length("data").alias("size"))
     postings = written(postings, "postings")
@@ -259,7 +260,7 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         out = _pack({"rid": known_rid, "h": known_run}, _to_rid(known_rid, buckets), "db", {})
         return pa.Table.from_batches([b.select(schema.names) for b in out], schema)
 
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "rest"] * with_text
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         right, gone = left_copies(right)
@@ -285,18 +286,21 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
                 left_over.append(x[at:a])
                 at = b
             kept = b"".join([*left_over, x[at:]])
-            for column, v in zip(out, (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept), strict=False):
+            for column, v in zip(out, (n, n - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")), strict=False):
                 column.append(v)
-        columns = [left.column("key"), *(pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False))]
-        return pa.Table.from_arrays(columns[: len(names)], names=names)
+        kinds_of = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
+        made = [pa.array(v, t) for v, t in zip(out, kinds_of, strict=False)][: len(names) - 1]
+        return pa.Table.from_arrays([left.column("key"), *(left.column(c) for c in more), *made], names=["key", *more, *names[1:]])
 
     found = docs.select("rid", F.xxhash64("data").alias("fp"), "ord", "data").mapInArrow(minima, "bucket int, kind int, h binary, fp binary, rid binary")
     survivors = found.groupBy("bucket").applyInArrow(settle, "db int, rid binary, h binary")
-    by_doc = docs.select("db", "key", "rid", "ord", "data").groupBy("db")
+    by_doc = docs.select("db", "key", *more, "rid", "ord", "data").groupBy("db")
     dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(windows, "bucket int, kind int, ord binary, rid binary, run binary, data binary")
     marked = dealt.groupBy("bucket").applyInArrow(mark, "db int, rid binary, h binary")
-    out = by_doc.cogroup(marked.unionByName(copies).groupBy("db")).applyInArrow(remove, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
-    return out.withColumnRenamed("key", key)
+    out = by_doc.cogroup(marked.unionByName(copies).groupBy("db")).applyInArrow(
+        remove, f"key {kinds['key']}, " + "".join(f"{c} {kinds[c]}, " for c in more) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text
+    )
+    return out.select(F.col("key").alias(key), *[F.col(c).alias(old) for c, old in more.items()], *names[1:])
 
 
 def _to_rid(rid: np.ndarray, buckets: int) -> np.ndarray:

@@ -147,7 +147,7 @@ def fit(df: DataFrame, labels: DataFrame, label: str, text: str, key: str, most:
         if 0 < true_share < 1:  # the classes were sampled separately: back to their true shares
             model.weights[-1] += math.log(true_share / (1 - true_share)) - math.log(share / (1 - share))
     else:
-        model.weights = np.array([0, 0, 0, math.log((y.sum() + 1) / (len(y) - y.sum() + 1))])
+        model.weights = np.array([0, 0, 0, math.log((y.sum() + 0.5) / (len(y) - y.sum() + 1))])  # below a half where nothing is labelled
     return model
 
 
@@ -156,7 +156,7 @@ def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
 
     passages is an array of (first, last, score, words), first and last being word numbers from 0.  Null and empty
     texts are scored as empty texts and have no passages.  Rows of null key count as held out.  Without usable labels
-    of both classes every row gets the share of label 1; other columns are ignored.  The fit reads `most` labelled rows
+    of both classes every row gets one score, about the share of label 1 (a third without any label); other columns are ignored.  The fit reads `most` labelled rows
     at most; the lexicon is thereby bounded.
     """
     model = df.sparkSession.sparkContext.broadcast(fit(df, labels, label, text, key, most))
@@ -177,5 +177,19 @@ def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "d
     return out.select(F.col("key").alias(key), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["passages"] * with_passages)
 
 
+def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = 0.5, most: int = MAX_LABELLED) -> DataFrame:
+    """The rows of df, with all their columns, whose score is below the threshold.  Nothing shuffles."""
+    model = df.sparkSession.sparkContext.broadcast(fit(df, labels, label, text, key, most))
+
+    def run(batches):
+        import pyarrow as pa
+
+        m = model.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(text).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_passages=False)
