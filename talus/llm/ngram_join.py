@@ -18,8 +18,11 @@ from ._base import components, own, table, written
 WORDS, SIMILARITY, VALUES, RECALL = 5, 0.8, 64, 0.9999
 #: Buckets up to LEAF rows are brute-forced; larger ones split, DEPTH times at most, then go in blocks of BLOCK rows.
 LEAF, DEPTH, BLOCK = 400, 4, 200
-#: A pair is a candidate from this share of equal bytes of the embeddings on (about five standard errors below SIMILARITY).
+#: A pair is a candidate from this share of equal values of the embeddings on (about five standard errors below SIMILARITY).
 CANDIDATE = 0.55
+#: In a large bucket, rows that agree with its pivot this far join it as candidates; rows that agree by CORE are done.
+#: Distance 1 - J is a metric: a row nearer than LOOSE to the pivot and one farther than CORE are no link of 0.8.
+LOOSE, CORE = 0.2, 0.65
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _lexicon: list[W.Lexicon] = []
@@ -179,13 +182,14 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
         return rows.join(classes.select(F.col("c").alias("k"), "sig"), F.col("c") == F.col("k")).drop("k")
 
     def sized(rows: DataFrame) -> DataFrame:
-        many = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("c").alias("pivot")).where("size > 1")
+        many = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("c", F.xxhash64("c", "node")).alias("pivot")).where("size > 1")
         return written(rows.join(many.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).drop("at"), "nodes")
 
-    def agree(x: str, y: str):
-        """Share of equal low bytes of two embeddings, on the JVM."""
-        at, hx, hy = F.sequence(F.lit(1), F.lit(8 * VALUES - 7), F.lit(8)), F.hex(x), F.hex(y)
-        return F.aggregate(at, F.lit(0), lambda s, i: s + (F.substring(hx, i, F.lit(2)) == F.substring(hy, i, F.lit(2))).cast("int")) / F.lit(VALUES)
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = _bytes(b.column("sig"), VALUES, "<u4") == _bytes(b.column("psig"), VALUES, "<u4")
+                yield b.drop_columns(["psig"]).append_column("s", pa.array(same.mean(1)))
 
     rows = sized(classes.select("c", "sig").mapInArrow(split_roots, "node long, c long").distinct())
     edges = []
@@ -195,13 +199,13 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
         big = rows.where(F.col("size") > leaf)
         if big.isEmpty():
             break
-        # A bucket whose members all agree with one of them adds no further component: only others split on.
+        # Whoever agrees with the pivot is of its component already; its core is done, as no others can link to it.
         pivots = big.select(F.col("pivot").alias("p")).distinct().join(classes.select(F.col("c").alias("k"), F.col("sig").alias("psig")), F.col("p") == F.col("k")).drop("k")
-        seen = with_sig(big).join(pivots, F.col("pivot") == F.col("p")).withColumn("linked", agree("sig", "psig") >= CANDIDATE)
-        seen = written(seen.select("node", "c", "sig", "pivot", "linked"), "seen")
-        edges.append(seen.where("linked AND c <> pivot").select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
-        open_nodes = seen.where("NOT linked").select(F.col("node").alias("at")).distinct()
-        todo = seen.join(open_nodes, F.col("node") == F.col("at"), "left_semi")
+        seen = with_sig(big.select("node", "c", "pivot")).join(pivots, F.col("pivot") == F.col("p")).select("node", "c", "pivot", "sig", "psig")
+        seen = written(seen.mapInArrow(agree, "node long, c long, pivot long, sig binary, s double"), "seen")
+        edges.append(seen.where((F.col("s") >= LOOSE) & (F.col("c") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
+        open_nodes = seen.where(F.col("s") < LOOSE).select(F.col("node").alias("at")).distinct()
+        todo = seen.where(F.col("s") < CORE).join(open_nodes, F.col("node") == F.col("at"), "left_semi")
         if level < depth:
             rows = sized(todo.select("node", "c", "sig").mapInArrow(split, "node long, c long").distinct())
             continue
