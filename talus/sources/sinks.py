@@ -19,7 +19,7 @@ def ascii_grid_lines(cells: DataFrame, cols: int, rows: int, cell: float, west:
     header = spark.createDataFrame([(i - len(head), t) for i, t in enumerate(head)], "ord long, value string")
     frame = spark.range(rows).select(F.col("id").alias("row"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("col"))
     full = frame.join(cells.select("row", "col", "z"), ["row", "col"], "left")
-    text = F.coalesce(F.format_string("%.3f", "z"), F.lit(f"{nodata:g}"))
+    text = F.when(F.col("z").isNull() | F.isnan("z"), f"{nodata:g}").otherwise(F.format_string("%.3f", "z"))
     body = full.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", text.alias("t")))).alias("c"))
     return header.unionByName(body.select((F.lit(rows - 1) - F.col("row")).cast("long").alias("ord"), F.concat_ws(" ", F.col("c.t")).alias("value")))
 
