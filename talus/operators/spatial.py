@@ -64,3 +64,23 @@ def footprints(pts: DataFrame, size: float, least: int, min_area: float) -> Data
         (F.min("row") * F.lit(size)).alias("south"), ((F.max("row") + 1) * F.lit(size)).alias("north"),
     )
     return out.where(F.col("area") >= min_area)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """edges(a, b) of long nodes -> node, component (least node of each group), by least labels and jumps."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    spark = edges.sparkSession
+    kept = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    hold = lambda df: df.checkpoint() if kept else df.persist()
+    both = hold(both)
+    cur = hold(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
+    seen = None
+    while True:
+        near = both.join(cur, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
+        nxt = cur.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"))
+        jump = nxt.select(F.col("node").alias("k"), F.col("label").alias("further"))
+        cur = hold(nxt.join(jump, F.col("label") == F.col("k")).select("node", F.least("label", "further").alias("label")))
+        now = cur.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if now == seen:
+            return cur.select("node", F.col("label").alias("component"))
+        seen = now

@@ -107,6 +107,16 @@ lv AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS px, (r + 0.5::DOUBLE) * 10 AS py, (
 seg AS ({union})"""
 
 
+_F = 1 / 298.257223563
+_N = _F / (2 - _F)
+_E = 2 * math.sqrt(_N) / (1 + _N)
+_UTM = [
+    "l AS (SELECT point_id, x - 70 AS lat, y / 2 - 180 AS lon FROM pts WHERE x - 70 BETWEEN -80 AND 84)",
+    "zn AS (SELECT *, CAST(CASE WHEN NOT (lon BETWEEN -180 AND 180) THEN NULL WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE least(floor((lon + 180) / 6) + 1, 60) END AS INTEGER) AS zone FROM l)",
+    f"tt AS (SELECT *, radians(lon - (zone * 6 - 183)) AS lam, sinh(atanh(sin(radians(lat))) - {_E!r}::DOUBLE * atanh({_E!r}::DOUBLE * sin(radians(lat)))) AS t FROM zn)",
+    f"u AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, {6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)!r}::DOUBLE AS big, {_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16!r}::DOUBLE AS a1, {13 * _N**2 / 48 - 3 * _N**3 / 5!r}::DOUBLE AS a2, {61 * _N**3 / 240!r}::DOUBLE AS a3 FROM tt)",
+]
+
 ORACLE_SQL = {
     "range_filter": _q([PTS], "SELECT point_id, z FROM pts WHERE z BETWEEN 10 AND 30"),
     "clip_inside": _q([PTS], "SELECT point_id FROM pts WHERE x BETWEEN 10 AND 60 AND y BETWEEN 24 AND 240 AND z BETWEEN 5 AND 25"),
@@ -202,4 +212,27 @@ ORACLE_SQL = {
     "tumbling": "SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "sliding": "SELECT start, count(*) AS n, round(max(value), 6) AS top FROM (SELECT time_bucket(INTERVAL 2 HOUR, ts) - k * INTERVAL 2 HOUR AS start, value FROM events, (SELECT unnest(range(0, 3)) AS k)) GROUP BY 1",
     "sessions": _q(["g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM events)", "s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)"], "SELECT user_id, min(ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"),
+    "nearest_fill": _q(
+        [*MEAN, *(_SPARSE := ["k AS (SELECT r, c, z FROM dtm WHERE n >= 10)", "box AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM k)", "f AS (SELECT r, unnest(range(c0, c1 + 1)) AS c FROM (SELECT unnest(range(r0, r1 + 1)) AS r, c0, c1 FROM box))", "hole AS (SELECT r, c FROM f EXCEPT SELECT r, c FROM k)", "near AS (SELECT h.r, h.c, k.z, k.r - h.r AS dr, k.c - h.c AS dc FROM hole h JOIN k ON k.r BETWEEN h.r - 4 AND h.r + 4 AND k.c BETWEEN h.c - 4 AND h.c + 4)"])],
+        f"SELECT {ROW}, round(z, 6) AS z FROM k UNION ALL SELECT {ROW}, round(arg_min(z, [greatest(abs(dr), abs(dc)), dr * dr + dc * dc, dr, dc]), 6) FROM near GROUP BY r, c",
+    ),
+    "idw_fill": _q(
+        [*MEAN, *_SPARSE, "g AS (SELECT r, c, greatest(abs(dr), abs(dc)) AS ring, count(*) AS n, sum(1.0::DOUBLE / (dr * dr + dc * dc)) AS w, sum(z / (dr * dr + dc * dc)) AS s FROM near GROUP BY 1, 2, 3)", "t AS (SELECT *, sum(n) OVER (PARTITION BY r, c ORDER BY ring) AS upto FROM g)", "l AS (SELECT r, c, coalesce(min(ring) FILTER (WHERE upto >= 12), 4) + 1 AS last FROM t GROUP BY r, c)"],
+        f"SELECT r AS \"row\", c AS col, round(sum(s) / sum(w), 6) AS z, CAST(sum(n) AS BIGINT) AS found FROM t JOIN l USING (r, c) WHERE ring <= last GROUP BY r, c",
+    ),
+    "steepness": _q(MEAN, "SELECT a.r AS \"row\", a.c AS col, round(coalesce(max(abs(a.z - b.z)), 0) / 10, 6) AS slope FROM dtm a LEFT JOIN dtm b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY 1, 2"),
+    "holdout": _q([PTS, KEYED, _dtm("avg(z)", "tr", "WHERE point_id % 5 <> 0"), "e AS (SELECT k.z - tr.z AS e FROM keyed k LEFT JOIN tr USING (r, c) WHERE point_id % 5 = 0)"], "SELECT count(*) AS n, count(e) AS covered, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias FROM e"),
+    "interval_gate": _q([*MEAN, "s AS (SELECT min(z) AS lo, max(z) AS hi FROM dtm)", "i AS (SELECT CAST(unnest([0.5, 1, 2, 5, 10]) AS DOUBLE) AS interval)", "l AS (SELECT interval, CAST(greatest(floor(hi / interval) - ceil(lo / interval) + 1, 0) AS BIGINT) AS levels FROM i, s)", "g AS (SELECT *, interval >= 0.8 AND levels >= 1 AS supported FROM l)"], "SELECT interval, levels, supported, coalesce(interval = (SELECT min(interval) FROM g WHERE supported AND levels BETWEEN 4 AND 40), FALSE) AS recommended FROM g"),
+    "style_levels": _q([*MEAN, _march()], "SELECT DISTINCT level, CAST(round(level / 10) AS BIGINT) % 5 = 0 AS is_index FROM seg WHERE x1 <> x2 OR y1 <> y2"),
+    "grade_tally": _q(
+        [*MEAN, _march(), "q AS (SELECT r, c, CAST(floor(100 * least(n / 8.0::DOUBLE, 1) * n / (n + 3.0::DOUBLE) + 0.5) AS BIGINT) AS k FROM dtm)", "m AS (SELECT *, CAST(floor((y1 + y2) / 2 / 10) AS BIGINT) AS r, CAST(floor((x1 + x2) / 2 / 10) AS BIGINT) AS c FROM seg WHERE x1 <> x2 OR y1 <> y2)", "w AS (SELECT CASE WHEN k >= 66 THEN 'solid' WHEN k >= 33 THEN 'dashed' ELSE 'gap' END AS grade, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM m LEFT JOIN q USING (r, c))"],
+        "SELECT grade, count(*) AS n, round(sum(len), 4) AS length FROM w GROUP BY grade",
+    ),
+    "class_names": _q([PTS], "SELECT class, CASE class WHEN 1 THEN 'Unclassified' WHEN 2 THEN 'Ground' WHEN 3 THEN 'Low vegetation' WHEN 4 THEN 'Medium vegetation' WHEN 5 THEN 'High vegetation' WHEN 6 THEN 'Building' END AS name, count(*) AS n FROM pts GROUP BY class"),
+    "utm_forward": _q([PTS, *_UTM], "SELECT point_id, zone, round(500000 + 0.9996::DOUBLE * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east, round(0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS north FROM u"),
+    "cell_metres": _q([PTS, "l AS (SELECT point_id, x - 70 AS lat FROM pts)"], "SELECT point_id, round(CASE WHEN point_id % 2 = 0 THEN 0.001::DOUBLE * 111320 * cos(radians(least(greatest(lat, -89), 89))) ELSE 0.001::DOUBLE END, 6) AS ew, round(CASE WHEN point_id % 2 = 0 THEN 0.001::DOUBLE * 111320 ELSE 0.001::DOUBLE END, 6) AS ns FROM l"),
+    "srgb": _q([PTS, "b AS (SELECT point_id, CAST(point_id % 256 AS INTEGER) AS back, CAST(point_id % 256 AS DOUBLE) / 255 AS c FROM pts)"], "SELECT point_id, round(CASE WHEN c <= 0.04045 THEN c / 12.92::DOUBLE ELSE ((c + 0.055::DOUBLE) / 1.055::DOUBLE) ** 2.4::DOUBLE END, 6) AS linear, back FROM b"),
+    "fnv1a": "SELECT event_id, lpad(lower(hex(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(props, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (xor(a, c) * 16777619) % 4294967296))), 8, '0') AS hash FROM events",
+    "hash_chain": "SELECT conv_id, list_reduce(list_prepend('', list(concat_ws(':', role, text) ORDER BY turn, concat_ws(':', role, text))), lambda h, e: sha256(h || '|' || e)) AS hash FROM conversations GROUP BY conv_id",
+    "version_order": "SELECT event_id, CAST(CASE WHEN event_id % 3 <> event_id % 2 THEN sign(event_id % 3 - event_id % 2) ELSE sign(event_id % 11 - user_id % 12) END AS INTEGER) AS sign FROM events",
 }

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs as E
+from ..functions import geo
+from ..operators import contours as C
 from ..operators import grid as G
+from ..operators import ground as R
 from ..operators import measure as M
 from ..operators import points as P
 from ..operators import spatial as S
@@ -70,6 +72,40 @@ def _samples(spark, sf):
     return p.select(F.least(F.col("intensity").cast("double"), F.lit(100.0)).alias("confidence"), (F.col("z") > 20).alias("hit")).where("confidence IS NOT NULL")
 
 
+def _segments(spark, sf):
+    return G.contour_segments(_dtm(spark, sf), SIZE, 10.0)
+
+
+def _sparse(spark, sf):
+    return _dtm(spark, sf).where("n >= 10")
+
+
+def _places(spark, sf):
+    """Latitudes and longitudes that the points stand for."""
+    lat, lon = F.col("x") - 70.0, F.col("y") / 2.0 - 180.0
+    return pts(spark, sf).select("point_id", lat.alias("lat"), lon.alias("lon"))
+
+
+def _utm(spark, sf):
+    zone, east, north = geo.utm_forward(F.col("lat"), F.col("lon"))
+    return _places(spark, sf).where("lat BETWEEN -80 AND 84").select("point_id", zone.alias("zone"), east.alias("east"), north.alias("north"))
+
+
+def _cell_metres(spark, sf):
+    ew, ns = geo.cell_metres(F.lit(0.001), F.col("point_id") % 2 == 0, F.col("lat"))
+    return _places(spark, sf).select("point_id", ew.alias("ew"), ns.alias("ns"))
+
+
+def _colours(spark, sf):
+    byte = (F.col("point_id") % 256).cast("double")
+    return pts(spark, sf).select("point_id", geo.srgb_to_linear(byte).alias("linear"), geo.linear_to_srgb(geo.srgb_to_linear(byte)).alias("back"))
+
+
+def _chain(spark, sf):
+    c = src.table(spark, sf, "conversations").select("conv_id", "turn", F.concat_ws(":", "role", "text").alias("t"))
+    return c.groupBy("conv_id").agg(geo.hash_chain(F.transform(F.sort_array(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"])).alias("hash"))
+
+
 QUERIES = {
     # points
     "range_filter": lambda s, d: P.range_filter(pts(s, d), "z", 30.0, 10.0).select("point_id", "z"),
@@ -112,6 +148,26 @@ QUERIES = {
     "change_cells": lambda s, d: _round(G.change(*_epochs(s, d), 1.0)),
     "change_stats": lambda s, d: _round(G.change_stats(G.change(*_epochs(s, d), 1.0), SIZE * SIZE)),
     "grid_agreement": lambda s, d: _round(G.agreement(*_epochs(s, d), 2.0)),
+    "nearest_fill": lambda s, d: _round(R.nearest_fill(_sparse(s, d), 4)),
+    "idw_fill": lambda s, d: _round(R.idw_fill(_sparse(s, d), 4)),
+    "steepness": lambda s, d: _round(R.steepness(_dtm(s, d), SIZE)),
+    "smrf_ground": lambda s, d: R.ground(pts(s, d), SIZE).select("point_id", "is_ground"),
+    "holdout": lambda s, d: _round(R.holdout(pts(s, d), SIZE)),
+    "cell_status": lambda s, d: R.status(_sparse(s, d), G.cell_confidence(_sparse(s, d))),
+    "interval_gate": lambda s, d: C.interval_gate(_dtm(s, d), 0.4),
+    "style_levels": lambda s, d: C.styled(_segments(s, d), 10.0),
+    "grade_tally": lambda s, d: _round(C.grade_tally(C.graded(_segments(s, d), G.cell_confidence(_dtm(s, d)), SIZE)), 4),
+    "polylines": lambda s, d: C.polylines(_segments(s, d)).select("level", "closed", F.size("xs").cast("long").alias("vertices")),
+    "smooth_lines": lambda s, d: C.smoothed(C.polylines(_segments(s, d))).select("level", "closed", F.size("xs").cast("long").alias("vertices")),
+    "label_places": lambda s, d: _round(C.label_places(C.polylines(_segments(s, d)), 40.0).select("level", "chainage")),
+    # functions
+    "class_names": lambda s, d: P.class_histogram(pts(s, d)).select("class", geo.class_name(F.col("class")).alias("name"), "n"),
+    "utm_forward": lambda s, d: _round(_utm(s, d), 3),
+    "cell_metres": lambda s, d: _round(_cell_metres(s, d)),
+    "srgb": lambda s, d: _round(_colours(s, d)),
+    "fnv1a": lambda s, d: src.table(s, d, "events").select("event_id", geo.fnv1a(F.col("props")).alias("hash")),
+    "hash_chain": lambda s, d: _chain(s, d),
+    "version_order": lambda s, d: src.table(s, d, "events").select("event_id", geo.version_order(F.concat_ws(".", (F.col("event_id") % 3).cast("string"), (F.col("event_id") % 11).cast("string")), F.concat_ws(".", (F.col("event_id") % 2).cast("string"), (F.col("user_id") % 12).cast("string"), F.lit("0"))).alias("sign")),
     # measurements
     "cut_fill": lambda s, d: _round(M.cut_fill(pts(s, d), RING, 15.0), 3),
     "stockpile": lambda s, d: _round(M.stockpile(pts(s, d), RING), 3),
