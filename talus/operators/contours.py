@@ -79,13 +79,15 @@ def polylines(segments: DataFrame, quantum: float = 1e-6) -> DataFrame:
 
 def smoothed(lines: DataFrame, passes: int = 2) -> DataFrame:
     """Chaikin's corner cutting on the vertices of each line; the ends of open lines stay."""
+    def cut(c: str):
+        mix = lambda i: F.array(0.75 * F.element_at(c, i) + 0.25 * F.element_at(c, i + 1), 0.25 * F.element_at(c, i) + 0.75 * F.element_at(c, i + 1))
+        pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(c) - 1), mix))
+        ends = F.concat(F.slice(c, 1, 1), pairs, F.slice(c, -1, 1))
+        return F.when(F.size(c) < 3, F.col(c)).when(F.col("closed"), F.concat(pairs, F.slice(pairs, 1, 1))).otherwise(ends)
+
     out = lines
     for _ in range(passes):
-        for c in ("xs", "ys"):
-            pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i, c=c: F.array(0.75 * F.element_at(c, i) + 0.25 * F.element_at(c, i + 1), 0.25 * F.element_at(c, i) + 0.75 * F.element_at(c, i + 1))))
-            ends = F.concat(F.slice(c, 1, 1), pairs, F.slice(c, -1, 1))
-            ring = F.concat(pairs, F.slice(pairs, 1, 1))
-            out = out.withColumn(c, F.when(F.size(c) < 3, F.col(c)).when(F.col("closed"), ring).otherwise(ends))
+        out = out.withColumns({c: cut(c) for c in ("xs", "ys")})
     return out
 
 
