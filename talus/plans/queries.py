@@ -10,6 +10,7 @@ from ..operators import grid as G
 from ..operators import ground as R
 from ..operators import measure as M
 from ..operators import points as P
+from ..operators import registration as T
 from ..operators import spatial as S
 from ..operators import validate as V
 from ..sources import points as src
@@ -181,6 +182,8 @@ QUERIES = {
     # joins
     "radius_count": lambda s, d: S.radius_counts(src.vector_points(s, d), src.vector_points(s, d), 0.1),
     "nearest": lambda s, d: _round(S.nearest(pts(s, d).where("class = 2"), pts(s, d).where("class = 6"), 3.0)),
+    "descriptors": lambda s, d: _round(T.descriptors(src.vector_points(s, d), 0.15), 4),
+    "convex_hull": lambda s, d: _round(T.convex_hull(pts(s, d)).select("x", "y")),
     "footprints": lambda s, d: _round(S.footprints(pts(s, d), SIZE, 12, 150.0)),
     # validation
     "confusion": lambda s, d: _round(V.confusion(src.table(s, d, "labels").select(F.col("quality").alias("truth"), F.col("toxic").alias("predicted")))),
