@@ -146,13 +146,8 @@ class Codec:
         return out
 
 
-_codecs: dict[str, W.Lexicon] = {}
-
-
 def _lexicon(rank_file: str) -> W.Lexicon:
-    if rank_file not in _codecs:
-        _codecs[rank_file] = W.Lexicon(Codec(rank_file).encode)
-    return _codecs[rank_file]
+    return W.active(("bpe", rank_file), lambda: W.Lexicon(Codec(rank_file).encode))
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 600_000) -> Iterator[pa.RecordBatch]:
@@ -194,7 +189,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", key:
                 out |= {"ids": joined, "decoded": decoded}
             yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}").withColumnRenamed("key", key)
+    W.small_batches(df.sparkSession)
+    return rows.mapInArrow(W.lean(run), f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}").withColumnRenamed("key", key)
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,6 @@ CANDIDATE = 0.55
 LOOSE, CORE = 0.2, 0.65
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_lexicon: list[W.Lexicon] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,11 +42,12 @@ def word_lists(text):
 
 
 def _words_of() -> W.Lexicon:
-    if not _lexicon:
+    def make() -> W.Lexicon:
         import xxhash
 
-        _lexicon.append(W.Lexicon(lambda ws: [pa.array([xxhash.xxh3_64_intdigest(w) for w in ws], pa.uint64())]))
-    return _lexicon[0]
+        return W.Lexicon(lambda ws: [pa.array([xxhash.xxh3_64_intdigest(w) for w in ws], pa.uint64())], most=100_000)
+
+    return W.active(("hashes",), make)
 
 
 def shingles(lists: pa.ListArray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,29 +191,29 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
                 same = _bytes(b.column("sig"), VALUES, "<u4") == _bytes(b.column("psig"), VALUES, "<u4")
                 yield b.drop_columns(["psig"]).append_column("s", pa.array(same.mean(1)))
 
-    rows = sized(classes.select("c", "sig").mapInArrow(split_roots, "node long, c long").distinct())
+    rows = sized(classes.select("c", "sig").mapInArrow(W.lean(split_roots), "node long, c long").distinct())
     edges = []
     for level in range(depth + 1):
         small = with_sig(rows.where(F.col("size") <= leaf).select("node", "c")).withColumn("block", F.lit(0))
-        edges.append(written(small.repartition(n, "node").sortWithinPartitions("node", "c").mapInArrow(brute, "a long, b long").distinct(), "edges"))
+        edges.append(written(small.repartition(n, "node").sortWithinPartitions("node", "c").mapInArrow(W.lean(brute), "a long, b long").distinct(), "edges"))
         big = rows.where(F.col("size") > leaf)
         if big.isEmpty():
             break
         # Whoever agrees with the pivot is of its component already; its core is done, as no others can link to it.
         pivots = big.select(F.col("pivot").alias("p")).distinct().join(classes.select(F.col("c").alias("k"), F.col("sig").alias("psig")), F.col("p") == F.col("k")).drop("k")
         seen = with_sig(big.select("node", "c", "pivot")).join(pivots, F.col("pivot") == F.col("p")).select("node", "c", "pivot", "sig", "psig")
-        seen = written(seen.mapInArrow(agree, "node long, c long, pivot long, sig binary, s double"), "seen")
+        seen = written(seen.mapInArrow(W.lean(agree), "node long, c long, pivot long, sig binary, s double"), "seen")
         edges.append(seen.where((F.col("s") >= LOOSE) & (F.col("c") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
         open_nodes = seen.where(F.col("s") < LOOSE).select(F.col("node").alias("at")).distinct()
         todo = seen.where(F.col("s") < CORE).join(open_nodes, F.col("node") == F.col("at"), "left_semi")
         if level < depth:
-            rows = sized(todo.select("node", "c", "sig").mapInArrow(split, "node long, c long").distinct())
+            rows = sized(todo.select("node", "c", "sig").mapInArrow(W.lean(split), "node long, c long").distinct())
             continue
         # The rest goes in pairs of blocks, so that no bucket is cut short whatever its size.
         blocks = todo.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("node", "at")
         mine = todo.join(blocks, F.col("node") == F.col("at")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("i", "j") * F.lit(1 << 16) + F.greatest("i", "j"))
-        edges.append(mine.select("node", "block", "c", "sig").repartition(n, "node", "block").sortWithinPartitions("node", "block", "c").mapInArrow(brute, "a long, b long").distinct())
+        edges.append(mine.select("node", "block", "c", "sig").repartition(n, "node", "block").sortWithinPartitions("node", "block", "c").mapInArrow(W.lean(brute), "a long, b long").distinct())
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -272,6 +272,7 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     Rows of equal sets are one class from the start.  Paths connect classes that may link; inside each connected group,
     cut into blocks, all links are then counted exactly, so that a large group makes no row for each of its pairs.
     """
+    W.small_batches(df.sparkSession)
     rows = own(df, key=key, text=text)
     kind = dict(rows.dtypes)["key"]
 
@@ -288,7 +289,7 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
             sigs = [next(sig).tobytes() if counts[i] else None for i in range(len(counts))]
             yield pa.RecordBatch.from_pydict({"key": b.column("key"), "name": pa.array(names, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    docs = written(rows.select("key", word_lists(F.col("text")).alias("words")).mapInArrow(sketch, f"key {kind}, name binary, sig binary"), "docs")
+    docs = written(rows.select("key", word_lists(F.col("text")).alias("words")).mapInArrow(W.lean(sketch), f"key {kind}, name binary, sig binary"), "docs")
     classes = docs.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("first"), F.count("*").alias("mult"), F.first("sig").alias("sig"))
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     groups = components(candidates(classes, similarity, recall, leaf, depth))
@@ -314,11 +315,11 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
             cols = {x: b.column(x) for x in ("c", "mult", "component", "blocks", "part")} | {"shingles": pa.array(raw, pa.binary())}
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(right))
 
-    found = written(sources.mapInArrow(sets, "c long, mult long, component long, blocks int, part int, shingles binary").dropDuplicates(["c"]), "sets")
+    found = written(sources.mapInArrow(W.lean(sets), "c long, mult long, component long, blocks int, part int, shingles binary").dropDuplicates(["c"]), "sets")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = found.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x"))
     tasks = tasks.select("component", "i", "j", "c", "mult", "part", "shingles").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "c")
-    links = written(tasks.mapInArrow(lambda it: verify(it, similarity), "c long, other long, n long"), "links")
+    links = written(tasks.mapInArrow(W.lean(lambda it: verify(it, similarity)), "c long, other long, n long"), "links")
 
     counts = links.where("n IS NOT NULL").groupBy("c").agg(F.sum("n").alias("n")).withColumnRenamed("c", "k")
     joined = components(links.where("other IS NOT NULL"), "c", "other").withColumnRenamed("node", "m")

@@ -19,7 +19,6 @@ from .bpe import slices
 DIMS, BITS, HASHED = 3, 16, 512
 
 _PLAIN = re.compile(r" [^\W\d_]+", re.ASCII)
-_encoders: dict[str, W.Lexicon] = {}
 
 
 class WordEncoder:
@@ -55,9 +54,7 @@ def _encoder(tokenizer_file: str) -> W.Lexicon:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if tokenizer_file not in _encoders:
-        _encoders[tokenizer_file] = W.Lexicon(WordEncoder(tokenizer_file).encode)
-    return _encoders[tokenizer_file]
+    return W.active(("ids", tokenizer_file), lambda: W.Lexicon(WordEncoder(tokenizer_file).encode))
 
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -125,7 +122,8 @@ def tokenised(df: DataFrame, tokenizer_file: str, pattern: str, end_id: int, tex
                 docs = [small[cut[i] : cut[i + 1]] for i in range(len(size))]
             yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "key": batch.column("key"), "n": pa.array(size), "curve": pa.array(keys), "ids": pa.array(docs, pa.binary())})
 
-    return written(rows.mapInArrow(run, f"row long, key {kind}, n long, curve long, ids binary"), "tokens")
+    W.small_batches(df.sparkSession)
+    return written(rows.mapInArrow(W.lean(run), f"row long, key {kind}, n long, curve long, ids binary"), "tokens")
 
 
 def starts(tokens: DataFrame) -> DataFrame:
@@ -176,7 +174,7 @@ def pack(df: DataFrame, tokenizer_file: str, pattern: str, length: int = 2048, e
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=False)], names=names)
 
     schema = f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(W.lean(run), schema).withColumnRenamed("key", key)
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:

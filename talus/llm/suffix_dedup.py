@@ -25,6 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from ._base import own, table, written
 
 LENGTH, BASE = 50, 16
@@ -292,13 +293,13 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         made = [pa.array(v, t) for v, t in zip(out, kinds_of, strict=False)][: len(names) - 1]
         return pa.Table.from_arrays([left.column("key"), *(left.column(c) for c in more), *made], names=["key", *more, *names[1:]])
 
-    found = docs.select("rid", F.xxhash64("data").alias("fp"), "ord", "data").mapInArrow(minima, "bucket int, kind int, h binary, fp binary, rid binary")
-    survivors = found.groupBy("bucket").applyInArrow(settle, "db int, rid binary, h binary")
+    found = docs.select("rid", F.xxhash64("data").alias("fp"), "ord", "data").mapInArrow(W.lean(minima), "bucket int, kind int, h binary, fp binary, rid binary")
+    survivors = found.groupBy("bucket").applyInArrow(lambda t: W.released(settle(t)), "db int, rid binary, h binary")
     by_doc = docs.select("db", "key", *more, "rid", "ord", "data").groupBy("db")
-    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(windows, "bucket int, kind int, ord binary, rid binary, run binary, data binary")
-    marked = dealt.groupBy("bucket").applyInArrow(mark, "db int, rid binary, h binary")
+    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(lambda left, right: W.released(windows(left, right)), "bucket int, kind int, ord binary, rid binary, run binary, data binary")
+    marked = dealt.groupBy("bucket").applyInArrow(lambda t: W.released(mark(t)), "db int, rid binary, h binary")
     out = by_doc.cogroup(marked.unionByName(copies).groupBy("db")).applyInArrow(
-        remove, f"key {kinds['key']}, " + "".join(f"{c} {kinds[c]}, " for c in more) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text
+        lambda left, right: W.released(remove(left, right)), f"key {kinds['key']}, " + "".join(f"{c} {kinds[c]}, " for c in more) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text
     )
     return out.select(F.col("key").alias(key), *[F.col(c).alias(old) for c, old in more.items()], *names[1:])
 

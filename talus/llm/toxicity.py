@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as W
 from ._base import own, table
 from ._fit import held_out, labelled_sample, logistic, sigmoid
 
@@ -188,7 +189,8 @@ def without_toxic(df: DataFrame, labels: DataFrame, text: str = "text", key: str
         for b in batches:
             yield b.filter(pa.array([m.score(t)[0] < threshold for t in b.column(text).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    W.small_batches(df.sparkSession)
+    return df.mapInArrow(W.lean(run), df.schema)
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

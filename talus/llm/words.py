@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,11 +14,59 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch between JVM and Python where whole texts travel.
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark) -> None:
+    """Lowers the session's rows of an Arrow batch, so that a batch of whole texts stays at a few megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def pretokens(text: Column, pattern: str) -> Column:
     """Every match of the pattern, in order; \\s and \\S as Unicode defines white space."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the machine: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(result):
+    release()
+    return result
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and then `release`."""
+
+    @functools.wraps(run)
+    def inner(batches):
+        yield from run(batches)
+        release()
+
+    return inner
+
+
+_active: dict[tuple, Lexicon] = {}
+
+
+def active(name: tuple, make: Callable[[], Lexicon]) -> Lexicon:
+    """The lexicon of that name in this worker.  There is one at a time: another operator's goes first."""
+    if name not in _active:
+        _active.clear()
+        gc.collect()
+        release()
+        _active[name] = make()
+    return _active[name]
+
+
 class Lexicon:
     """Distinct words seen by this Python worker -> rows of Arrow columns, filled by `encode(list of words)`.
 
