@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ._base import own, table, written
 
-#: Pages of one host that a task compares at once; share of its text from which on two pages are copies of one article.
+#: Neighbouring pages that a task compares at least; share of its text from which on two pages are copies of one article.
 CHUNK, COPY = 64, 0.7
 
 # HTML's elements whose content is no text, that end a block, that never have content, and that hold no article text.
@@ -170,56 +171,74 @@ def _parts(url):
     return host, F.regexp_extract(rest, "^(?://[^/?#]*)?([^?#]*)", 1)
 
 
+def _splits(rows: DataFrame, least: int) -> list[tuple]:
+    """First and last place key of each run of pages, in one order over all pages; runs number 8 a shuffle partition at most.
+
+    Only the place columns are sorted; a host that holds most pages spreads over many partitions.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["host", "path", "url", "known", "key"]
+    small = written(rows.select(*order).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "order")
+    at, base = 0, []
+    for r in small.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
+        base.append((r["part"], at))
+        at += r["n"]
+    size = max(least, -(-at // (8 * n)))
+    bases = spark.createDataFrame(base or [(0, 0)], "part int, base long")
+    inner = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    placed = small.withColumn("inner", inner).join(F.broadcast(bases), "part").withColumn("place", F.col("base") + F.col("inner"))
+    ends = placed.where((F.col("place") % size == 0) | ((F.col("place") + 1) % size == 0) | (F.col("place") == at - 1)).select("place", *order)
+    tuples = {r["place"]: tuple(r[1:]) for r in ends.collect()}
+    return [(tuples[i], tuples[min(i + size, at) - 1]) for i in range(0, at, size)]
+
+
 def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "page_id", chunk: int = CHUNK) -> DataFrame:
     """key, url, text, n_chars: the article of each page, blocks joined by an empty line; empty if there is none.
 
     Each page is compared with the page before and the page after it on the same host, in order of URL path (then URL,
-    key and row).  Null html counts as empty, a null or relative URL as one host without a name; repeated keys and URLs
+    key and html).  Null html counts as empty, a null or relative URL as one host without a name; repeated keys and URLs
     are pages of their own; other columns are ignored; an empty table gives no rows.
+
+    Pages are parsed where they are read; only their blocks move, once, each run of neighbouring pages to one task, with
+    the pages next to the run's ends.
     """
     rows = own(df, key=key, url=url, html=html)
     kinds = dict(rows.dtypes)
     host, path = _parts(F.col("url"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("host", host).withColumn("path", path)
-    lists = "texts array<string>, inside array<boolean>, frame array<boolean>"
+    rows = rows.select("key", F.col("url").alias("given"), F.coalesce("url", F.lit("")).alias("url"), host.alias("host"), path.alias("path"), F.col("key").isNotNull().alias("known"), "html")
+    runs = df.sparkSession.sparkContext.broadcast(_splits(rows, chunk))
+    kinds_out = f"chunk int, home int, key {kinds['key']}, given {kinds['url']}, url string, host string, path string, known boolean, tie string, texts array<string>, inside array<boolean>, frame array<boolean>"
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        order = lambda t: t[:4] + ((t[4],) if t[3] else ())
+        firsts, lasts = [order(a) for a, _ in runs.value], [order(b) for _, b in runs.value]
         for b in batches:
-            found = [blocks(x) for x in b.pop("html")]
+            found = [blocks(x) for x in b["html"]]
+            b["tie"] = [hashlib.sha256((x or "").encode("utf-8", "replace")).hexdigest()[:16] for x in b.pop("html")]
             for i, name in enumerate(("texts", "inside", "frame")):
                 b[name] = [[x[i] for x in f] for f in found]
-            yield b
-
-    pages = rows.select("row", "key", "url", "host", "path", "html").mapInPandas(parse, f"row long, key {kinds['key']}, url {kinds['url']}, host string, path string, {lists}")
-    pages = written(pages, "pages")
-    # One order over all pages: a hot host spreads over many partitions, and places do not depend on how rows are dealt.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "url", "key", "row"]
-    small = written(pages.select(*order).repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "order")
-    at, base = 0, []
-    for r in small.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():  # a row for each partition
-        base.append((r["part"], at))
-        at += r["n"]
-    bases = df.sparkSession.createDataFrame(base or [(0, 0)], "part int, base long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
-    placed = small.withColumn("inner", place).join(F.broadcast(bases), "part").select(F.col("row").alias("at_row"), (F.col("base") + F.col("inner")).alias("place"))
-    placed = pages.join(placed, F.col("row") == F.col("at_row")).select("place", "key", "url", "host", "texts", "inside", "frame")
-    mine = F.floor(F.col("place") / chunk)
-    both = F.array_distinct(F.array(mine, F.floor((F.col("place") - 1) / chunk), F.floor((F.col("place") + 1) / chunk)))
-    dealt = placed.withColumn("home", mine).withColumn("chunk", F.explode(both))
+            places = [order(t) for t in zip(b["host"], b["path"], b["url"], b["known"], b["key"], strict=True)]
+            # Equal places share a run: the one in which the first of them begins, or which it begins.
+            home = [max(bisect_right(firsts, p) - 1, 0) for p in places]
+            home = [bisect_left(firsts, firsts[h]) if firsts[h] == p and h and lasts[h - 1] == p else h for h, p in zip(home, places, strict=True)]
+            to = [[h] + [h - 1] * (h > 0 and firsts[h] == p) + [h + 1] * (h + 1 < len(firsts) and lasts[h] == p) for h, p in zip(home, places, strict=True)]
+            b["home"], b["chunk"] = home, to
+            out = b.explode("chunk", ignore_index=True).astype({"chunk": "int32"})
+            yield out[["chunk", "home", "key", "given", "url", "host", "path", "known", "tie", "texts", "inside", "frame"]]
 
     def compare(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("place", ignore_index=True)
+        t = t.sort_values(["host", "path", "url", "known", "key", "tie"], ignore_index=True)
         found = [list(zip(a, b, c, strict=True)) for a, b, c in zip(t["texts"], t["inside"], t["frame"], strict=True)]
-        hosts, out = t["host"].tolist(), []
+        hosts, home, out = t["host"].tolist(), (t["home"] == t["chunk"]).tolist(), []
         for i in range(len(t)):
-            if t["home"][i] == t["chunk"][i]:
+            if home[i]:
                 near = [found[j] for j in (i - 1, i + 1) if 0 <= j < len(t) and hosts[j] == hosts[i]]
                 text = main_text(found[i], near)
-                out.append((t["key"][i], t["url"][i], text, len(text)))
+                out.append((t["key"][i], t["given"][i], text, len(text)))
         return pd.DataFrame(out, columns=["key", "url", "text", "n_chars"])
 
-    got = dealt.groupBy("chunk").applyInPandas(compare, f"key {kinds['key']}, url {kinds['url']}, text string, n_chars long")
+    got = rows.mapInPandas(parse, kinds_out).groupBy("chunk").applyInPandas(compare, f"key {kinds['key']}, url {kinds['url']}, text string, n_chars long")
     return got.withColumnRenamed("key", key).withColumnRenamed("url", url)
 
 
