@@ -14,8 +14,6 @@ from ._base import components, own, table, written
 
 #: Vectors that the quantisers are fitted on, at most; subspaces; codewords of each; lists at most.
 SAMPLE, SUBSPACES, CODEWORDS, LISTS = 20_000, 8, 256, 1024
-#: Lists that a vector is looked up in, at most: a partner's list is nearly always among the first few.
-PROBES = 24
 #: Entries and queries that meet in one task.
 ENTRIES, QUERIES = 4_000, 8_000
 
@@ -54,24 +52,44 @@ class Index:
     def __init__(self, x: np.ndarray, rows: int, threshold: float, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.threshold, self.dim = threshold, x.shape[1]
+        self.reach = math.sqrt(max(2 - 2 * threshold, 0)) + 1e-6  # no partner is farther
         self.centres = k_means(x, max(1, min(LISTS, len(x), math.isqrt(max(rows, 1)))), rng)
         residual = x - self.centres[nearest(x, self.centres, 1)[0][:, 0]]
         self.cuts = np.array_split(np.arange(self.dim), min(SUBSPACES, self.dim))
         self.books = [k_means(residual[:, c], min(CODEWORDS, len(x)), rng, 6) for c in self.cuts]
 
-    def lists(self, x: np.ndarray) -> list[np.ndarray]:
-        """For each vector its own list first, then others that can hold a partner, the nearest PROBES at most.
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and (vectors, lists): whether a partner of the vector can be in the list.
 
-        A partner lies within r of the vector, so its list's cell must come that near: the distance to the plane between
-        two centres bounds it from below.
+        A partner lies within reach of the vector, so its list's cell must come that near: the distance to the plane
+        between two centres bounds it from below.  Every list that passes is looked up, however many they are.
         """
-        i, d = nearest(x, self.centres, min(PROBES, len(self.centres)))
-        r = math.sqrt(max(2 - 2 * self.threshold, 0)) + 1e-9
-        out = []
-        for a, b in zip(i, d, strict=True):
-            apart = np.sqrt(((self.centres[a] - self.centres[a[0]]) ** 2).sum(1))
-            out.append(a[(b - b[0]) <= 2 * r * apart + 1e-12])
-        return out
+        c = self.centres
+        half = (c * c).sum(1)
+        apart = np.sqrt(np.maximum(half[:, None] + half - 2 * (c @ c.T), 0)) + 1e-6
+        home, near = np.zeros(len(x), np.int64), np.zeros((len(x), len(c)), bool)
+        for at in range(0, len(x), 2048):
+            d = half - 2 * (x[at : at + 2048] @ c.T)
+            own_list = d.argmin(1)
+            home[at : at + 2048] = own_list
+            near[at : at + 2048] = d - d.min(1)[:, None] <= 2 * self.reach * apart[own_list] + 1e-12
+        return home, near
+
+    def groups(self, held: dict[int, int], size: int) -> tuple[np.ndarray, list[int]]:
+        """The group of each list, and the entries of each group: lists next to each other go together up to `size` entries."""
+        left, chain = np.ones(len(self.centres), bool), [0]
+        left[0] = False
+        while left.any():
+            d = ((self.centres - self.centres[chain[-1]]) ** 2).sum(1)
+            chain.append(int(np.where(left, d, np.inf).argmin()))
+            left[chain[-1]] = False
+        of, total = np.zeros(len(chain), np.int64), [0]
+        for w in chain:
+            if total[-1] and total[-1] + held.get(w, 0) > size:
+                total.append(0)
+            of[w] = len(total) - 1
+            total[-1] += held.get(w, 0)
+        return of, total
 
     def encode(self, x: np.ndarray, own_list: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what the codes leave out."""
@@ -80,24 +98,34 @@ class Index:
         kept = np.concatenate([book[codes[:, j]] for j, book in enumerate(self.books)], 1)
         return codes, np.sqrt(((residual[:, np.concatenate(self.cuts)] - kept) ** 2).sum(1))
 
-    def search(self, which: int, entries: dict, queries: dict):
+    def search(self, entries: dict, x: np.ndarray):
         """Pairs (query, entry) of cosine >= threshold, by blocks: table look-ups first, exact cosines of the rest.
 
         By the triangle inequality a partner's approximate distance is at most its true one plus its quantisation error.
+        The products of a query with the codewords are the same for all lists; 1e-4 is more than single precision loses.
         """
-        r = math.sqrt(max(2 - 2 * self.threshold, 0)) + 1e-6
-        codes, err, x = entries["codes"], entries["err"], entries["x"]
-        for at in range(0, len(queries["x"]), 64):
-            q = queries["x"][at : at + 64]
-            residual = q - self.centres[which]
-            far = np.zeros((len(q), len(codes)))
+        codes, y = entries["codes"], entries["x"]
+        lists, of = np.unique(entries["home"], return_inverse=True)
+        kept = self.centres[entries["home"]]
+        for j, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
+            kept[:, c] += book[codes[:, j]]
+        least = ((1 + (kept * kept).sum(1) - (self.reach + entries["err"]) ** 2 - 1e-4) / 2).astype(np.float32)
+        for at in range(0, len(x), 256):
+            q = x[at : at + 256]
+            dot = (self.centres[lists] @ q.T).astype(np.float32)[of]
             for j, (c, book) in enumerate(zip(self.cuts, self.books, strict=True)):
-                part = residual[:, c]
-                far += ((part * part).sum(1)[:, None] + (book * book).sum(1) - 2 * part @ book.T)[:, codes[:, j]]
-            i, k = np.nonzero(np.sqrt(np.maximum(far, 0)) <= r + err)
-            cosine = np.einsum("ij,ij->i", q[i], x[k])
-            good = cosine >= self.threshold
-            yield at + i[good], k[good]
+                dot += (book @ q[:, c].T).astype(np.float32)[codes[:, j]]
+            maybe = dot >= least[:, None]
+            if 16 * np.count_nonzero(maybe) > maybe.size:  # one product is cheaper than so many; only ties are left to decide
+                cosine = y @ q.T
+                good = cosine >= self.threshold + 1e-9
+                maybe = abs(cosine - self.threshold) < 1e-9
+            else:
+                good = np.zeros_like(maybe)
+            k, i = np.nonzero(maybe)
+            good[k, i] = np.einsum("ij,ij->i", q[i], y[k]) >= self.threshold
+            k, i = np.nonzero(good)
+            yield at + i, k
 
 
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
@@ -108,8 +136,7 @@ def _unit(raw: list[bytes], dim: int) -> np.ndarray:
 def link(df: DataFrame, threshold: float = 0.95, vector: str = "embedding", key: str = "vec_id", sample: int = SAMPLE) -> DataFrame:
     """One row per input row: key, n_links, component_id, kept.
 
-    Two vectors link when their cosine, in double precision, is `threshold` or more and the index finds the pair from
-    either side.  Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
+    Two vectors link when their cosine, in double precision, is `threshold` or more; the index leaves out no pair.  Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths.  Rows of equal vectors are one class from the start.  A null key is nobody's
     component; rows that repeat a key keep their own answers.  Other columns are ignored; an empty table gives no rows.
     The quantisers are fitted on `sample` distinct vectors (lowest hashes) at most; every vector is indexed.
@@ -154,59 +181,65 @@ def _linked(classes: DataFrame, dim: int, n: int, threshold: float, sample: int)
             if not len(raw):
                 continue
             unit = raw / np.sqrt((raw * raw).sum(1))[:, None]
-            probes = ix.lists(unit)
-            home = np.array([p[0] for p in probes])
+            home, near = ix.lists(unit)
             codes, err = ix.encode(unit, home)
             yield pa.RecordBatch.from_pydict(
-                {"c": b.column("c"), "mult": b.column("mult"), "home": pa.array(home.astype(np.int32)), "probes": pa.array([p.astype(np.int32) for p in probes], pa.list_(pa.int32())), "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "err": pa.array(err), "raw": pa.array([r.tobytes() for r in raw], pa.binary())}
+                {"c": b.column("c"), "mult": b.column("mult"), "home": pa.array(home.astype(np.int32)), "probes": pa.array([r.tobytes() for r in np.packbits(near, axis=1)], pa.binary()), "codes": pa.array([r.tobytes() for r in codes], pa.binary()), "err": pa.array(err), "raw": pa.array([r.tobytes() for r in raw], pa.binary())}
             )
 
-    placed = written(classes.select("c", "mult", "v").mapInArrow(place, "c long, mult long, home int, probes array<int>, codes binary, err double, raw binary"), "placed")
-    asked = placed.select("c", "mult", "home", "raw", F.explode("probes").alias("which"))
-    # Long lists go in blocks of entries against blocks of queries: at most LISTS rows come to the driver for each.
-    held = {r["which"]: r["n"] for r in placed.groupBy(F.col("home").alias("which")).agg(F.count("*").alias("n")).collect()}
-    wanted = {r["which"]: r["n"] for r in asked.groupBy("which").agg(F.count("*").alias("n")).collect()}
-    shape = [(w, -(-held[w] // ENTRIES), -(-wanted[w] // QUERIES)) for w in held if w in wanted]
-    shape = F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "list int, eb int, qb int"))
-    entries = placed.join(shape, F.col("home") == F.col("list")).withColumn("e", F.pmod(F.xxhash64("c"), F.col("eb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
-    queries = asked.join(shape, F.col("which") == F.col("list")).withColumn("q", F.pmod(F.xxhash64("c"), F.col("qb")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("eb") - 1)))
-    entries = entries.select("list", "e", "q", "c", "mult", "probes", "codes", "err", "raw").groupBy("list", "e", "q")
-    queries = queries.select(*[F.col(x).alias(f"q_{x}") for x in ("list", "e", "q", "c", "mult", "home", "raw")]).groupBy("q_list", "q_e", "q_q")
+    placed = written(classes.select("c", "mult", "v").mapInArrow(place, "c long, mult long, home int, probes binary, codes binary, err double, raw binary"), "placed")
+    # Lists go in groups, long ones in blocks of entries, against blocks of queries: at most LISTS rows come to the driver for each.
+    of, total = index.groups({r["home"]: r["n"] for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect()}, ENTRIES)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups with lists that a vector is looked up in."""
+        for b in batches:
+            if b.num_rows:
+                bits = np.frombuffer(b"".join(b.column("probes").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                row, which = np.nonzero(np.unpackbits(bits, axis=1, count=len(of)))
+                hit = np.zeros((b.num_rows, len(total)), bool)
+                hit[row, of[which]] = True
+                ends = np.r_[0, np.cumsum(hit.sum(1))].astype(np.int32)
+                yield b.drop_columns(["probes"]).append_column("groups", pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(hit)[1].astype(np.int32))))
+
+    wanted = placed.select("probes").mapInArrow(deal, "groups array<int>").select(F.explode("groups").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    shape = [(r["g"], -(-total[r["g"]] // ENTRIES), -(-r["n"] // QUERIES)) for r in wanted.collect()]
+    shape = F.broadcast(spark.createDataFrame(shape or [(0, 1, 1)], "group int, eb int, qb int"))
+    lists = F.broadcast(spark.createDataFrame([(w, int(g)) for w, g in enumerate(of)], "list int, g int"))
+    asked = placed.select("c", "raw", "probes").mapInArrow(deal, "c long, raw binary, groups array<int>").select("c", "raw", F.explode("groups").alias("g"))
+    entries = placed.join(lists, F.col("home") == F.col("list")).join(shape, F.col("g") == F.col("group")).withColumn("e", F.pmod(F.xxhash64("c"), F.col("eb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1)))
+    queries = asked.join(shape, F.col("g") == F.col("group")).withColumn("q", F.pmod(F.xxhash64("c"), F.col("qb")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("eb") - 1)))
+    entries = entries.select("g", "e", "q", "c", "mult", "home", "codes", "err", "raw").groupBy("g", "e", "q")
+    queries = queries.select(*[F.col(x).alias(f"q_{x}") for x in ("g", "e", "q", "c", "raw")]).groupBy("q_g", "q_e", "q_q")
     schema = pa.schema([("c", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
     def meet(e: pa.Table, q: pa.Table) -> pa.Table:
         if not e.num_rows or not q.num_rows:
             return schema.empty_table()
-        ix, which = shared.value, e.column("list")[0].as_py()
-        ec, em, qc, qm, home = e.column("c").to_numpy(), e.column("mult").to_numpy(), q.column("q_c").to_numpy(), q.column("q_mult").to_numpy(), q.column("q_home").to_numpy()
-        back = [frozenset(p) for p in e.column("probes").to_pylist()]
-        cols = {"codes": np.frombuffer(b"".join(e.column("codes").to_pylist()), np.uint8).reshape(e.num_rows, -1), "err": e.column("err").to_numpy(), "x": _unit(e.column("raw").to_pylist(), dim)}
-        n_e, n_q = np.zeros(len(ec), np.int64), np.zeros(len(qc), np.int64)
-        root: dict[int, int] = {}
-
-        def find(a: int) -> int:
-            while root.setdefault(a, a) != a:
-                root[a] = a = root[root[a]]
-            return a
-
+        ec, em, qc = e.column("c").to_numpy(), e.column("mult").to_numpy(), q.column("q_c").to_numpy()
+        cols = {"codes": np.frombuffer(b"".join(e.column("codes").to_pylist()), np.uint8).reshape(e.num_rows, -1), "err": e.column("err").to_numpy(), "home": e.column("home").to_numpy(), "x": _unit(e.column("raw").to_pylist(), dim)}
+        n = np.zeros(len(qc), np.int64)
+        names, node = np.unique(np.r_[qc, ec], return_inverse=True)
+        q_node, e_node = node[: len(qc)], node[len(qc) :]
+        root = np.arange(len(names))
         edges: list[tuple[int, int]] = []
-        for i, k in ix.search(which, cols, {"x": _unit(q.column("q_raw").to_pylist(), dim)}):
+        for i, k in shared.value.search(cols, _unit(q.column("q_raw").to_pylist(), dim)):
             other = qc[i] != ec[k]
             i, k = i[other], k[other]
-            np.add.at(n_q, i, em[k])
-            one_way = np.array([h not in back[b] for h, b in zip(home[i].tolist(), k.tolist(), strict=True)], bool)
-            np.add.at(n_e, k[one_way], qm[i[one_way]])  # the entry does not ask in the query's list
-            for a, b in zip(qc[i].tolist(), ec[k].tolist(), strict=True):
-                x, y = find(a), find(b)
-                if x != y:
-                    root[x] = y
-                    edges.append((a, b))
-        some_q, some_e = np.flatnonzero(n_q), np.flatnonzero(n_e)
-        c = np.r_[qc[some_q], ec[some_e], np.array([a for a, _ in edges], np.int64)]
-        counted = len(some_q) + len(some_e)
-        other = [None] * counted + [b for _, b in edges]
-        n = np.r_[n_q[some_q], n_e[some_e]].tolist() + [None] * len(edges)
-        return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], schema=schema)
+            np.add.at(n, i, em[k])
+            by_query = np.argsort(i, kind="stable")
+            i, k = i[by_query], e_node[k[by_query]]
+            for own_i, near in zip(i[np.r_[True, i[1:] != i[:-1]][: len(i)]].tolist(), np.split(k, np.flatnonzero(i[1:] != i[:-1]) + 1), strict=False):
+                a = q_node[own_i]
+                labels, at = np.unique(root[near], return_index=True)
+                new = labels != root[a]
+                if new.any():
+                    edges += [(int(names[a]), int(b)) for b in names[near[at[new]]]]
+                    root[np.isin(root, labels[new])] = root[a]
+        some = np.flatnonzero(n)
+        c = np.r_[qc[some], np.array([a for a, _ in edges], np.int64)]
+        other = [None] * len(some) + [b for _, b in edges]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()), pa.array(other, pa.int64()), pa.array(n[some].tolist() + [None] * len(edges), pa.int64())], schema=schema)
 
     return entries.cogroup(queries).applyInArrow(meet, "c long, other long, n long")
 

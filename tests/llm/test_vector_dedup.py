@@ -62,6 +62,21 @@ def test_large_groups_go_in_blocks(spark, monkeypatch):
     assert got(V.link(spark.createDataFrame(data, "vec_id long, embedding array<double>"))) == brute(data)
 
 
+def test_no_link_is_lost_in_a_dense_cluster(spark, monkeypatch):
+    """A third of the rows in one cluster that spreads over hundreds of the 1,024 lists."""
+    init = V.Index.__init__
+    monkeypatch.setattr(V.Index, "__init__", lambda self, x, rows, threshold: init(self, x, 1 << 20, threshold))
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((6000, 64))
+    x[:2000] = x[0] + 0.24 * rng.standard_normal((2000, 64))
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.95).sum(1) - 1
+    assert want.sum() > 100_000
+    mine = got(V.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")))
+    found = [n for _, n, _ in mine]
+    assert sum(found) == want.sum() and found == want.tolist()
+
+
 def test_odd_rows(spark):
     a, b = [1.0, 0.0, 2.0], [1.0, 0.01, 2.0]
     data = [(5, a), (3, b), (9, a), (1, None), (2, []), (4, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [1.0, float("nan"), 2.0]), (8, [float("inf"), 0.0, 2.0])]
