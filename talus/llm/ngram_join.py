@@ -144,7 +144,7 @@ def _bytes(column, width: int, kind) -> np.ndarray:
 
 def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """classes(c, sig) -> edges (a, b) that connect every pair found along the chosen paths."""
-    runs = runs_needed(similarity, recall, 2)
+    runs = runs_needed(similarity, recall, depth + 1)  # the root splits too
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from talus.llm import ngram_join as J
 
 from .common import clashing, rows, same
@@ -60,3 +62,16 @@ def test_odd_rows(spark):
     assert again == [(3, 1, 3), (3, 1, 3), (3, 1, 3), (4, 1, 3)]
     assert len(rows(J.ngram_join(clashing(spark, [(None, "a b c d e f g"), (1, "a b c d e f g"), (None, None)])))) == 3
     assert rows(J.ngram_join(df.limit(0))) == []
+
+
+def test_deep_paths_keep_the_recall(spark):
+    """Pairs that share 51 of 64 values, each of them in buckets far over the leaf size, so that paths go four deep and more."""
+    rng = np.random.default_rng(9)
+    sig = np.repeat(rng.integers(0, 10, (1000, 64)), 2, 0)
+    for row in sig[1::2]:
+        at = rng.choice(64, 13, replace=False)
+        row[at] = (row[at] + rng.integers(1, 10, 13)) % 10
+    classes = spark.createDataFrame([(i, bytearray(x.astype("<u4").tobytes())) for i, x in enumerate(sig)], "c long, sig binary")
+    edges = J.candidates(classes, 0.8, 0.9, leaf=1).where("abs(a - b) = 1 AND floor(a / 2) = floor(b / 2)")
+    found = edges.selectExpr("floor(a / 2) AS pair").distinct().count()
+    assert found >= 900
