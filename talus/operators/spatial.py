@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..shared import components
 
 
 def radius_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
@@ -32,26 +33,18 @@ def nearest(a: DataFrame, b: DataFrame, most: float) -> DataFrame:
 
 
 def cell_labels(cells: DataFrame) -> DataFrame:
-    """row, col, component: 8-connected groups of cells, named by the least (row, col) of each.
+    """row, col, component: 8-connected groups of cells, named by the least cell of each.
 
-    Labels spread from neighbour to neighbour until none changes; each round halves the way by asking the label's own
-    cell for its label.  Rounds are cut by checkpoint(), or by the plan's own cache where no folder is set.
+    Every cell sends itself to four of its eight neighbours (the other four send themselves to it), so edges come from
+    one join by key; groups then come from `components`, whose rounds do not depend on how far a group reaches.
     """
     code = F.col("row") * F.lit(1 << 32) + F.col("col")
-    cur = cells.select("row", "col", code.alias("id")).withColumn("label", F.col("id"))
-    side = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    seen = None
-    while True:
-        sent = cur.select("row", "col", "label", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
-        low = sent.groupBy((F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col")).agg(F.min("label").alias("low"))
-        nxt = cur.join(low, ["row", "col"]).select("row", "col", "id", F.col("low").alias("label"))
-        jump = nxt.select(F.col("id").alias("k"), F.col("label").alias("further"))
-        nxt = nxt.join(jump, F.col("label") == F.col("k"), "left").select("row", "col", "id", F.least("label", F.coalesce("further", "label")).alias("label"))
-        cur = nxt.checkpoint() if cur.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else nxt.persist()
-        now = cur.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
-            return cur.select("row", "col", F.col("label").alias("component"))
-        seen = now
+    own = cells.select("row", "col", code.alias("id"))
+    steps = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    sent = own.select("id", "row", "col", F.explode(steps).alias("d")).select(F.col("id").alias("a"), (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col"))
+    edges = sent.join(own.select("row", "col", F.col("id").alias("b")), ["row", "col"]).select("a", "b")
+    got = components(edges)
+    return own.join(got, F.col("id") == F.col("node"), "left").select("row", "col", F.coalesce("component", "id").alias("component"))
 
 
 def footprints(pts: DataFrame, size: float, least: int, min_area: float) -> DataFrame:
@@ -67,20 +60,7 @@ def footprints(pts: DataFrame, size: float, least: int, min_area: float) -> Data
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """edges(a, b) of long nodes -> node, component (least node of each group), by least labels and jumps."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    hold = lambda df: df.checkpoint() if kept else df.persist()
-    both = hold(both)
-    cur = hold(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).select(F.col("a").alias("node"), "label"))
-    seen = None
-    while True:
-        near = both.join(cur, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("low"))
-        nxt = cur.join(near, F.col("node") == F.col("a")).select("node", F.least("label", "low").alias("label"))
-        jump = nxt.select(F.col("node").alias("k"), F.col("label").alias("further"))
-        cur = hold(nxt.join(jump, F.col("label") == F.col("k")).select("node", F.least("label", "further").alias("label")))
-        now = cur.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
-            return cur.select("node", F.col("label").alias("component"))
-        seen = now
+    """edges(a, b) of long nodes -> node, component (least node of each group); a node linked only to itself is its own group."""
+    got = components(edges)
+    nodes = edges.select(F.col("a").alias("n")).unionByName(edges.select(F.col("b").alias("n"))).distinct()
+    return nodes.join(got, F.col("n") == F.col("node"), "left").select(F.col("n").alias("node"), F.coalesce("component", "n").alias("component"))

@@ -50,8 +50,8 @@ grad AS (SELECT *, ((wmp + 2 * wop + wpp) - (wmm + 2 * wom + wpm)) / 80.0::DOUBL
 h AS (SELECT r, c, z, sqrt(dx * dx + dy * dy) AS slope, CASE WHEN dx = 0 AND dy = 0 THEN 0 ELSE atan2(-dy, -dx) END AS aspect, complete FROM grad)"""
 
 
-def _q(ctes: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+def _q(ctes: list[str], body: str, recursive: bool = False) -> str:
+    return "WITH " + "RECURSIVE " * recursive + ",\n".join(ctes) + "\n" + body
 
 
 MEAN = [PTS, KEYED, _dtm("avg(z)")]
@@ -107,6 +107,14 @@ lv AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS px, (r + 0.5::DOUBLE) * 10 AS py, (
 seg AS ({union})"""
 
 
+#: Groups of contour segments that share ends: comp(level, id, segments, nodes, length).
+_LINES = [
+    "en AS (SELECT level, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len, " + ", ".join(f"concat_ws(':', round(level, 6), CAST(round(x{i} / 0.000001::DOUBLE) AS BIGINT), CAST(round(y{i} / 0.000001::DOUBLE) AS BIGINT)) AS {n}" for i, n in ((1, "a"), (2, "b"))) + " FROM seg WHERE x1 <> x2 OR y1 <> y2)",
+    "adj AS (SELECT a, b FROM en UNION SELECT b, a FROM en)",
+    "reach AS (SELECT a, a AS m FROM adj UNION SELECT reach.a, adj.b FROM reach JOIN adj ON adj.a = reach.m)",
+    "of AS (SELECT a AS node, min(m) AS id FROM reach GROUP BY a)",
+    "comp AS (SELECT level, id, count(*) AS segments, (SELECT count(*) FROM of o WHERE o.id = of.id) AS nodes, sum(len) AS length FROM en JOIN of ON of.node = en.a GROUP BY level, id)",
+]
 _F = 1 / 298.257223563
 _N = _F / (2 - _F)
 _E = 2 * math.sqrt(_N) / (1 + _N)
@@ -228,6 +236,9 @@ ORACLE_SQL = {
         [*MEAN, _march(), "q AS (SELECT r, c, CAST(floor(100 * least(n / 8.0::DOUBLE, 1) * n / (n + 3.0::DOUBLE) + 0.5) AS BIGINT) AS k FROM dtm)", "m AS (SELECT *, CAST(floor((y1 + y2) / 2 / 10) AS BIGINT) AS r, CAST(floor((x1 + x2) / 2 / 10) AS BIGINT) AS c FROM seg WHERE x1 <> x2 OR y1 <> y2)", "w AS (SELECT CASE WHEN k >= 66 THEN 'solid' WHEN k >= 33 THEN 'dashed' ELSE 'gap' END AS grade, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) AS len FROM m LEFT JOIN q USING (r, c))"],
         "SELECT grade, count(*) AS n, round(sum(len), 4) AS length FROM w GROUP BY grade",
     ),
+    "polylines": _q([*MEAN, _march(), *_LINES], "SELECT level, segments = nodes AS closed, segments + 1 AS vertices FROM comp", True),
+    "smooth_lines": _q([*MEAN, _march(), *_LINES], "SELECT level, segments = nodes AS closed, CASE WHEN segments < 2 THEN segments + 1 WHEN segments = nodes THEN 4 * segments + 1 ELSE 4 * (segments + 1) END AS vertices FROM comp", True),
+    "label_places": _q([*MEAN, _march(), *_LINES], "SELECT level, round(20 + 40.0::DOUBLE * unnest(range(0, CAST(floor((length - 20) / 40) AS BIGINT) + 1)), 6) AS chainage FROM comp WHERE length >= 20", True),
     "class_names": _q([PTS], "SELECT class, CASE class WHEN 1 THEN 'Unclassified' WHEN 2 THEN 'Ground' WHEN 3 THEN 'Low vegetation' WHEN 4 THEN 'Medium vegetation' WHEN 5 THEN 'High vegetation' WHEN 6 THEN 'Building' END AS name, count(*) AS n FROM pts GROUP BY class"),
     "utm_forward": _q([PTS, *_UTM], "SELECT point_id, zone, round(500000 + 0.9996::DOUBLE * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS east, round(0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS north FROM u"),
     "cell_metres": _q([PTS, "l AS (SELECT point_id, x - 70 AS lat FROM pts)"], "SELECT point_id, round(CASE WHEN point_id % 2 = 0 THEN 0.001::DOUBLE * 111320 * cos(radians(least(greatest(lat, -89), 89))) ELSE 0.001::DOUBLE END, 6) AS ew, round(CASE WHEN point_id % 2 = 0 THEN 0.001::DOUBLE * 111320 ELSE 0.001::DOUBLE END, 6) AS ns FROM l"),
