@@ -2,88 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_scratch: list[tuple[object, str, str]] = []
-_owner = [""]
+from ..shared import components, drop_scratch, salt, salts_of, salts_seen, scratch_of, shared_dir, written
+
+__all__ = ["components", "drop_scratch", "own", "salt", "salts_of", "salts_seen", "scratch_of", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="talus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/talus/{uuid.uuid4().hex}-{name}"
-    if scratch:
-        _scratch.append((spark.sparkContext, path, _owner[-1]))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scratch_of(owner: str) -> Iterator[None]:
-    """Tables written inside belong to this owner, for `drop_scratch`."""
-    _owner.append(owner)
-    try:
-        yield
-    finally:
-        _owner.pop()
-
-
-def drop_scratch(spark: SparkSession, owner: str) -> None:
-    """Deletes the tables that `written` made for this owner.  Call it only when every result built on them has been stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for i in range(len(_scratch) - 1, -1, -1):
-        if _scratch[i][0] is spark.sparkContext and _scratch[i][2] == owner:
-            path = jvm.org.apache.hadoop.fs.Path(_scratch[i][1])
-            path.getFileSystem(conf).delete(path, True)
-            del _scratch[i]
-
-
 def own(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named input columns, under names of our own, so that extra or clashing columns do no harm."""
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
-
-    `edges` has two long columns; returns (node, component), component being the smallest node reached; nodes
-    without an edge are absent.  Each step is one aggregation (combined before its shuffle) and one join whose
-    large partitions adaptive execution can split; edges live in the shared folder between rounds, never on the driver.
-    """
-    cur = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct(), "edges")
-    seen = None
-    while True:
-        both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = written(large, "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            least.select("a", F.col("m").alias("b"))
-        )
-        cur = written(small.where("a > b").distinct(), "small")
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    labels = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels.unionByName(labels.select(F.col("component").alias("node"), "component").distinct())
