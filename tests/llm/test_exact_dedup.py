@@ -30,3 +30,21 @@ def test_directory_doubles_until_no_bucket_is_overfull():
 def test_small_buckets_give_the_same_answer(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     assert rows(X.exact_dedup(df, capacity=3)) == rows(X.exact_dedup(df))
+
+
+def test_colliding_hashes_chain(spark, sf, monkeypatch):
+    """Three hashes for all texts: every bucket chains, and only bytes tell texts apart."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    want = rows(X.exact_dedup(df))
+    monkeypatch.setattr(X, "hashed", lambda norm: F.shiftleft((F.length(norm) % 3).cast("long"), 61))
+    assert rows(X.exact_dedup(df, capacity=1)) == want
+
+
+def test_hot_group_and_very_long_texts(spark):
+    long = "word " * 400_000
+    data = [(i, "hot  text") for i in range(5000)] + [(9000 + i, f"text {i}") for i in range(3000)] + [(20000, long), (20001, long.replace(" ", "\n")), (20002, long + "x")]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in rows(X.exact_dedup(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert len(got) == len(data) and all(got[i] == (0, 5000) for i in range(5000)) and all(got[9000 + i] == (9000 + i, 1) for i in range(3000))
+    assert got[20001] == (20000, 2) and got[20002] == (20002, 1)
