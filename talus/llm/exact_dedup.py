@@ -55,7 +55,7 @@ def build_index(texts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slot = lambda depth: F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("long")
     counted = hashes.groupBy(slot(MAX_DEPTH).alias("slot")).agg(F.count("*").alias("n"), F.sum("n").alias("rows")).collect()  # 2^MAX_DEPTH rows at most
     buckets = directory({r["slot"]: r["n"] for r in counted}, capacity)
-    depth = max(d for _, _, d in buckets)  # the directory has 2^depth slots
+    depth = max(1, *(d for _, _, d in buckets))  # the directory has 2^depth slots
     owners = max(1, min(len(buckets), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = [(s, i, i * owners // len(buckets)) for i, (first, width, _) in enumerate(buckets) for s in range(first >> (MAX_DEPTH - depth), (first + width) >> (MAX_DEPTH - depth))]
     slots = F.broadcast(spark.createDataFrame(rows, "slot long, bucket int, owner int"))
