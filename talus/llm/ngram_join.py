@@ -18,6 +18,8 @@ from ._base import components, own, table, written
 WORDS, SIMILARITY, VALUES, RECALL = 5, 0.8, 64, 0.9999
 #: Buckets up to LEAF rows are brute-forced; larger ones split, DEPTH times at most, then go in blocks of BLOCK rows.
 LEAF, DEPTH, BLOCK = 400, 4, 200
+#: Classes, and shingles of all of them, that a block of a connected group holds on average when links are counted.
+GROUP_BLOCK, GROUP_SHINGLES = 1_000, 1_000_000
 #: A pair is a candidate from this share of equal values of the embeddings on (about five standard errors below SIMILARITY).
 CANDIDATE = 0.55
 #: In a large bucket, rows that agree with its pivot this far join it as candidates; rows that agree by CORE are done.
@@ -212,7 +214,7 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
         # The rest goes in pairs of blocks, so that no bucket is cut short whatever its size.
         blocks = todo.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("node", "at")
         mine = todo.join(blocks, F.col("node") == F.col("at")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-        mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("i", "j") * F.lit(1 << 16) + F.greatest("i", "j"))
+        mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("i", "j").cast("long") * F.lit(1 << 32) + F.greatest("i", "j"))
         edges.append(mine.select("node", "block", "c", "sig").repartition(n, "node", "block").sortWithinPartitions("node", "block", "c").mapInArrow(W.lean(brute), "a long, b long").distinct())
     out = edges[0]
     for e in edges[1:]:
@@ -220,8 +222,27 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
     return out
 
 
+def forest(link: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (root, member) that connect the same rows as the symmetric boolean matrix does."""
+    left, out = link.any(1), []
+    while left.any():
+        root = int(left.argmax())
+        seen = np.zeros(len(link), bool)
+        seen[root], new = True, np.array([root])
+        while len(new):
+            near = link[new].any(0) & ~seen
+            seen |= near
+            new = np.flatnonzero(near)
+        left &= ~seen
+        out += [(root, int(x)) for x in np.flatnonzero(seen) if x != root]
+    return out
+
+
 def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Exact links inside each pair of blocks: rows (c, other, n) - n copies linked to c, or n null and an edge of the links' forest."""
+    """Exact links inside each pair of blocks: rows (c, other, n) - n copies linked to c, or n null and an edge of the links' forest.
+
+    Shared shingles are counted by products of 0/1 matrices, over the shingles that two rows or more of the pair hold.
+    """
     top, all_of = round(similarity * 1000), 1000 + round(similarity * 1000)
     out: list[list] = [[], [], []]
     for t in grouped(batches, ["component", "i", "j"]):
@@ -229,28 +250,29 @@ def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
         sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets], np.int64)
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
+        _, token, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row = np.repeat(np.arange(len(sets)), size)
+        del sets
+        row, token = row[held[token] > 1], token[held[token] > 1]  # the others add to no intersection
+        token = (np.cumsum(held > 1) - 1)[token]
         order = np.argsort(token, kind="stable")
         token, row = token[order], row[order]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        width = max(256, (1 << 22) // max(len(sets), 1))
+        shared = np.zeros((len(c), len(c)), np.float32)
+        width = max(256, (1 << 22) // max(len(c), 1))
         for lo in range(0, int(token[-1]) + 1 if len(token) else 0, width):
             a, b = np.searchsorted(token, [lo, lo + width])
-            dense = np.zeros((len(sets), width), np.float32)
+            dense = np.zeros((len(c), width), np.float32)
             dense[row[a:b], token[a:b] - lo] = 1
             shared += dense @ dense.T
-        inter = np.rint(shared).astype(np.int64)
-        link = inter * all_of >= top * (size[:, None] + size[None, :])  # inter / union >= similarity, in whole numbers
+        link = np.zeros(shared.shape, bool)
+        for lo in range(0, len(c), 256):  # inter / union >= similarity, in whole numbers
+            link[lo : lo + 256] = np.rint(shared[lo : lo + 256]).astype(np.int64) * all_of >= top * (size[lo : lo + 256, None] + size[None, :])
         np.fill_diagonal(link, False)
         if i != j:  # pairs inside one block belong to the task of that block with itself
             link &= part[:, None] != part[None, :]
-        n = link @ mult
-        root = np.arange(len(c))
-        for x, y in zip(*np.nonzero(np.triu(link)), strict=True):
-            if root[x] != root[y]:
-                out[0].append(int(c[x])), out[1].append(int(c[y])), out[2].append(None)
-                root[root == root[y]] = root[x]
+        n = np.array([mult[x].sum() for x in link], np.int64)
+        for x, y in forest(link):
+            out[0].append(int(c[x])), out[1].append(int(c[y])), out[2].append(None)
         for x in np.flatnonzero(n):
             out[0].append(int(c[x])), out[1].append(None), out[2].append(int(n[x]))
         if len(out[0]) > 50_000:
@@ -265,15 +287,15 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     Texts link when the Jaccard similarity of their sets of five-word shingles is `similarity` or more; n_links counts
     the other rows linked to a row, class_id is the smallest key reachable by links, kept marks the row of that key.
     Words are what stands between white space, in lower case; a text of fewer words is one shingle; a text without
-    words (null, empty) links with nothing.  A null key is replaced by none: such a row names its class only if the
-    class has no other key.  Rows that repeat a key keep their own answers.  Other columns are ignored; an empty table
-    gives no rows.
+    words (null, empty) links with nothing.  Rows of null key link like any other; they name a class (by null) only if
+    none of its rows has a key.  Rows that repeat a key keep their own answers.  Other columns are ignored; an empty
+    table gives no rows.
 
     Rows of equal sets are one class from the start.  Paths connect classes that may link; inside each connected group,
     cut into blocks, all links are then counted exactly, so that a large group makes no row for each of its pairs.
     """
     W.small_batches(df.sparkSession)
-    rows = own(df, key=key, text=text)
+    rows = own(df, key=key, text=text).withColumn("rid", F.xxhash64("text"))
     kind = dict(rows.dtypes)["key"]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,20 +309,28 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
 
             names = [xxhash.xxh3_128_digest(keys[ends[i] : ends[i + 1]].tobytes()) if counts[i] else None for i in range(len(counts))]
             sigs = [next(sig).tobytes() if counts[i] else None for i in range(len(counts))]
-            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "name": pa.array(names, pa.binary()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"key": b.column("key"), "rid": b.column("rid"), "size": pa.array(counts), "name": pa.array(names, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
-    docs = written(rows.select("key", word_lists(F.col("text")).alias("words")).mapInArrow(W.lean(sketch), f"key {kind}, name binary, sig binary"), "docs")
-    classes = docs.where("name IS NOT NULL").groupBy("name").agg(F.min("key").alias("first"), F.count("*").alias("mult"), F.first("sig").alias("sig"))
+    docs = written(rows.select("key", "rid", word_lists(F.col("text")).alias("words")).mapInArrow(W.lean(sketch), f"key {kind}, rid long, size long, name binary, sig binary"), "docs")
+    # A class is read again from one row: of its rows with the smallest key, the one of the least text hash.
+    classes = docs.where("name IS NOT NULL").groupBy("name").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "rid")).alias("of"), F.count("*").alias("mult"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = classes.select("name", F.col("of.key").alias("first"), F.col("of.rid").alias("rid"), "mult", "size", "sig")
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     groups = components(candidates(classes, similarity, recall, leaf, depth))
     groups = written(groups, "groups")
 
-    # The sets of classes that may link, from the text of the first row of each.
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "of")
-    member = groups.join(sizes, F.col("component") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", "component", "blocks", "part")
-    member = member.join(classes.select("c", "first", "mult", "name"), F.col("node") == F.col("c"))
-    few = member.select("first", "name", "c", "mult", "component", "blocks", "part")
-    sources = rows.where("key IS NOT NULL").join(few, F.col("key") == F.col("first")).select("c", "name", "mult", "component", "blocks", "part", word_lists(F.col("text")).alias("words"))
+    # The sets of classes that may link, from the text of one row of each.
+    member = groups.join(classes.select("c", "first", "rid", "mult", "name", "size"), F.col("node") == F.col("c")).drop("node")
+    sizes = member.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("size") / GROUP_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("component", "of")
+    member = member.join(sizes, F.col("component") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    few = written(member.select("first", F.col("rid").alias("first_rid"), "name", "c", "mult", "component", "blocks", "part"), "members")
+    wanted = ["c", "name", "mult", "component", "blocks", "part"]
+    keyed = rows.join(few.where("first IS NOT NULL"), (F.col("key") == F.col("first")) & (F.col("rid") == F.col("first_rid"))).select(*wanted, "text")
+    # Rows without a key are found by their text's hash; copies among them go before their texts are read.
+    no_key = rows.where("key IS NULL").groupBy("rid").agg(F.min("text").alias("text"), F.max("text").alias("last"))
+    no_key = no_key.select("rid", F.explode(F.array_distinct(F.array("text", "last"))).alias("text"))
+    no_key = no_key.join(few.where("first IS NULL"), F.col("rid") == F.col("first_rid")).select(*wanted, "text")
+    sources = keyed.unionByName(no_key).select(*wanted, word_lists(F.col("text")).alias("words"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -64,6 +64,38 @@ def test_odd_rows(spark):
     assert rows(J.ngram_join(df.limit(0))) == []
 
 
+def test_rows_without_a_key_keep_their_links(spark):
+    base = [f"w{i}" for i in range(200)]
+    data = [(None, " ".join(base)), (1, " ".join(base + ["one"])), (2, " ".join(base + ["one", "two"])), (None, " ".join(base[3:])), (None, " ".join(base[3:])), (None, "alone " * 9), (7, "x y z")]
+    got = sorted(((r["doc_id"], r["n_links"], r["class_id"], r["kept"]) for r in rows(J.ngram_join(clashing(spark, data)))), key=str)
+    assert got == sorted([(None, 4, 1, False), (1, 4, 1, True), (2, 4, 1, False), (None, 4, 1, False), (None, 4, 1, False), (None, 0, None, True), (7, 0, 7, True)], key=str)
+
+
+def test_large_group_in_blocks(spark, monkeypatch):
+    """Every document lacks its own word of a common text: all of them link with all others."""
+    monkeypatch.setattr(J, "GROUP_BLOCK", 150)
+    base = [f"w{i}" for i in range(400)]
+    data = [(i, " ".join(base[:k] + [f"own{i}"] + base[k + 1 :])) for i in range(1200) for k in [(i * 37) % 400]]
+    got = rows(J.ngram_join(spark.createDataFrame(data, "doc_id long, text string")))
+    assert len(got) == 1200 and all(r["n_links"] == 1199 and r["class_id"] == 0 for r in got)
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 9, 60):
+        link = np.triu(rng.random((n, n)) < 1.2 / n, 1)
+        link |= link.T
+        root = list(range(n))
+        for x, y in zip(*np.nonzero(link)):
+            a, b = root[x], root[y]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        made = list(range(n))
+        for x, y in J.forest(link):
+            a, b = made[x], made[y]
+            made = [min(a, b) if r in (a, b) else r for r in made]
+        assert made == root
+
+
 def test_deep_paths_keep_the_recall(spark):
     """Pairs that share 51 of 64 values, each of them in buckets far over the leaf size, so that paths go four deep and more."""
     rng = np.random.default_rng(9)
