@@ -15,14 +15,17 @@ def held_out(key: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, key: str = "doc_id", text: str = "text", each: bool = True) -> DataFrame:
     """(key, label, text) of labelled rows that are not held out: the `most` of each class (or of all) whose keys hash lowest.
 
-    Only keys and labels of at most 2 * most rows are broadcast; the texts never shuffle.
+    A key with labels of both classes has the smaller one; of rows that repeat a key, the text of the least hash counts.
+    So there are `most` rows at most (of each class), whatever repeats.  Only keys and labels are broadcast.
     """
     rows = labels.select(labels[f"`{key}`"].alias("lkey"), labels[f"`{label}`"].alias("label")).where("label IN (0, 1) AND lkey IS NOT NULL").where(~held_out(F.col("lkey")))
-    order = [F.xxhash64("lkey"), F.col("lkey"), F.col("label")]
+    rows = rows.groupBy("lkey").agg(F.min("label").alias("label"))
+    order = [F.xxhash64("lkey"), F.col("lkey")]
     parts = [rows.where(F.col("label") == c).orderBy(*order).limit(most) for c in (0, 1)] if each else [rows.orderBy(*order).limit(most)]
     few = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    source = docs.select(docs[f"`{key}`"].alias("key"), docs[f"`{text}`"].alias("text"))
-    return source.join(F.broadcast(few), F.col("key") == F.col("lkey")).select("key", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    source = docs.select(docs[f"`{key}`"].alias("key"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("text"))
+    found = source.join(F.broadcast(few), F.col("key") == F.col("lkey")).select("key", F.col("label").cast("int").alias("label"), "text")
+    return found.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:

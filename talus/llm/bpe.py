@@ -14,27 +14,29 @@ from pyspark.sql import DataFrame
 from . import words as W
 from ._base import own, table
 
-#: Words encoded by one recursive query: bounds the rows that it holds.
-WORDS_PER_QUERY = 20_000
+#: Words encoded by one recursive query, and the sum of their squared lengths: bounds the rows that its rounds hold.
+WORDS_PER_QUERY, SQUARES_PER_QUERY = 20_000, 8_000_000
+#: Bytes up to which a word is contracted whole; longer ones go in windows of that size, each half over the next.
+LONG = 128
 
-#: k is word * 2^20 + position, positions being gapless; a merge moves the rest of its word one place to the left.
+#: k is word * 2^36 + position, positions being gapless; a merge moves the rest of its word one place to the left.
 _ENCODE = """
 WITH RECURSIVE state(it, k, tok) AS (
     SELECT 0, k, tok FROM start
   UNION ALL
     (WITH now AS MATERIALIZED (SELECT it, k, tok FROM state),
     best AS MATERIALIZED (
-        SELECT (a.k >> 20) AS w, min((m.merged << 20) | (a.k & 1048575)) AS b
+        SELECT (a.k >> 36) AS w, min((m.merged << 36) | (a.k & 68719476735)) AS b
         FROM now a JOIN now n ON n.k = a.k + 1 JOIN merges m ON m.pair = ((a.tok << 20) | n.tok)
-        GROUP BY (a.k >> 20)
+        GROUP BY (a.k >> 36)
     )
-    SELECT it + 1, CASE WHEN (k & 1048575) > (b & 1048575) THEN k - 1 ELSE k END, CASE WHEN (k & 1048575) = (b & 1048575) THEN (b >> 20) ELSE tok END
-    FROM now JOIN best ON (now.k >> 20) = best.w
-    WHERE (k & 1048575) <> (b & 1048575) + 1)
+    SELECT it + 1, CASE WHEN (k & 68719476735) > (b & 68719476735) THEN k - 1 ELSE k END, CASE WHEN (k & 68719476735) = (b & 68719476735) THEN (b >> 36) ELSE tok END
+    FROM now JOIN best ON (now.k >> 36) = best.w
+    WHERE (k & 68719476735) <> (b & 68719476735) + 1)
 ),
-last AS (SELECT (k >> 20) AS w, max(it) AS it FROM state GROUP BY (k >> 20))
+last AS (SELECT (k >> 36) AS w, max(it) AS it FROM state GROUP BY (k >> 36))
 SELECT w, string_agg(state.tok::VARCHAR, ' ' ORDER BY k) AS ids, string_agg(v.hex, '' ORDER BY k) AS hex
-FROM state JOIN last ON last.w = (state.k >> 20) AND last.it = state.it JOIN vocab v ON v.tok = state.tok
+FROM state JOIN last ON last.w = (state.k >> 36) AND last.it = state.it JOIN vocab v ON v.tok = state.tok
 GROUP BY w
 """
 
@@ -59,6 +61,7 @@ class Codec:
         self._load("merges", pa.table({"pair": pc.bit_wise_or(pc.shift_left(l, 20), r), "merged": m}))
         self._load("vocab", pa.table({"tok": pa.array(ranks.values(), pa.int64()), "hex": [t.hex() for t in ranks]}))
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.size = {m: len(t) for t, m in ranks.items()}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -76,8 +79,8 @@ class Codec:
                 ids[i], decoded[i] = str(whole), b
             else:
                 rest.append(i)
-                held += len(b)
-                if len(rest) >= WORDS_PER_QUERY or held > 16 * WORDS_PER_QUERY:
+                held += min(len(b), LONG) ** 2
+                if len(rest) >= WORDS_PER_QUERY or held > SQUARES_PER_QUERY:
                     self._contract(rest, raw, ids, decoded)
                     rest, held = [], 0
         if rest:
@@ -89,21 +92,65 @@ class Codec:
         return [joined, pc.cast(pc.add(pc.count_substring(joined, " "), 1), pa.int64()), pa.array(decoded, pa.binary())]
 
     def _contract(self, at: list[int], raw: list[bytes], ids: list, decoded: list) -> None:
-        # Long words would hold a query up for as many rounds as they have pairs: they go alone.
-        long = [i for i in at if len(raw[i]) > 512]
-        for group in [[i for i in at if len(raw[i]) <= 512], *[[i] for i in long]]:
-            if not group:
-                continue
-            n = np.array([len(raw[i]) for i in group])
-            tok = self.byte[np.frombuffer(b"".join(raw[i] for i in group), np.uint8)]
-            if len(group) == 1 and n[0] > 512:
-                tok = self._shortened(tok)
-                n = np.array([len(tok)])
-            w = np.repeat(np.arange(len(group)), n)
-            pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
-            self._load("start", pa.table({"k": w << 20 | pos, "tok": tok}))
-            for k, got, text in self.db.execute(_ENCODE).fetchall():
-                ids[group[k]], decoded[group[k]] = got, bytes.fromhex(text)
+        short = [i for i in at if len(raw[i]) <= LONG]
+        for i, (got, text) in zip(short, self._query([raw[i] for i in short]), strict=True):
+            ids[i], decoded[i] = got, text
+        for i in at:
+            if len(raw[i]) > LONG:
+                ids[i], decoded[i] = self._windows(raw[i]) or self._whole(raw[i])
+
+    def _query(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """Ids and decoded bytes of each word, by the recursive query."""
+        n = np.array([len(x) for x in words], np.int64)
+        return self._contracted(self.byte[np.frombuffer(b"".join(words), np.uint8)], n) if len(n) else []
+
+    def _contracted(self, tok: np.ndarray, n: np.ndarray) -> list[tuple[str, bytes]]:
+        w = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(tok)) - np.repeat(np.cumsum(n) - n, n)
+        self._load("start", pa.table({"k": w << 36 | pos, "tok": tok}))
+        out: list = [("", b"")] * len(n)
+        for k, got, text in self.db.execute(_ENCODE).fetchall():
+            out[k] = got, bytes.fromhex(text)
+        return out
+
+    def _windows(self, word: bytes) -> tuple[str, bytes] | None:
+        """A long word from its windows, contracted all at once; None where two windows share no token.
+
+        Contracting the least-ranked pair first is the same process on any part of a word that no merge crosses the
+        ends of.  So tokens that stand next to each other in one window's answer stay two when they are contracted
+        alone, and a row of tokens of which all neighbours do so is the answer for the whole: the first merge across
+        one of its borders would be a merge of those two alone.  Hence two windows join at a token that both have.
+        """
+        starts = range(0, len(word) - LONG // 2, LONG // 2)
+        windows = [word[i : i + LONG] for i in starts]
+        most = SQUARES_PER_QUERY // LONG**2
+        encoded = [x for i in range(0, len(windows), most) for x in self._query(windows[i : i + most])]
+        out: list[int] = []
+        text: list[bytes] = []
+        ends: list[int] = []  # where each token of `out` ends
+        for begin, (got, _) in zip(starts, encoded, strict=True):
+            new = [int(x) for x in got.split(" ")]
+            new_ends = (begin + np.cumsum([self.size[x] for x in new])).tolist()
+            if out:
+                there = dict(zip(new_ends, range(len(new)), strict=True))
+                meet = len(out) - 1
+                while meet >= 0 and ends[meet] > begin and not (ends[meet] in there and out[meet] == new[there[ends[meet]]]):
+                    meet -= 1
+                if meet < 0 or ends[meet] <= begin:
+                    return None
+                k = there[ends[meet]]
+                del out[meet + 1 :], ends[meet + 1 :]
+                new, new_ends = new[k + 1 :], new_ends[k + 1 :]
+            out += new
+            ends += new_ends
+        for group in range(0, len(out), WORDS_PER_QUERY):
+            text += self.decode([out[group : group + WORDS_PER_QUERY]])
+        return " ".join(map(str, out)), b"".join(text)
+
+    def _whole(self, word: bytes) -> tuple[str, bytes]:
+        """A long word in one piece, for words whose windows do not meet, such as long repeats of a few characters."""
+        tok = self._shortened(self.byte[np.frombuffer(word, np.uint8)])
+        return self._contracted(tok, np.array([len(tok)]))[0]
 
     def _shortened(self, tok: np.ndarray) -> np.ndarray:
         """Contracts all leftmost pairs of the least rank at once, as long as that cannot change the order of merges.
@@ -111,7 +158,7 @@ class Codec:
         It stops, and leaves the rest to the recursive query, when a merge would make a pair of a lower rank.
         """
         find = "SELECT m.merged FROM pairs p LEFT JOIN merges m ON m.pair = ((p.l << 20) | p.r) ORDER BY p.i"
-        while len(tok) > 512:
+        while len(tok) > 4 * LONG:
             self._load("pairs", pa.table({"i": np.arange(len(tok) - 1), "l": tok[:-1], "r": tok[1:]}))
             rank = self.db.execute(find).fetchnumpy()["merged"]
             rank = np.ma.filled(rank.astype(float), np.inf) if np.ma.isMaskedArray(rank) else rank.astype(float)

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import own, table
+from ._base import own, table, written
 from ._fit import held_out, labelled_sample, logistic, sigmoid
 
 #: Labelled rows of each class that the model is fitted on, at most.
 MAX_LABELLED = 3_000
-#: Bytes of each dictionary, and of the passage that one document gives to it.
+#: Bytes of each dictionary at most, and characters of the passage that one document gives to it.
 DICTIONARY, PASSAGE = 400_000, 1_500
 LEVEL = 3
 
@@ -45,28 +45,44 @@ class Sizes:
         return np.c_[d, d * d, r, r * r, d * r, n, n * n, d * n, r * n]
 
 
-def fit(sample: list[tuple[int, int, str]], seed: int = 0) -> tuple[bytes, bytes, np.ndarray]:
-    """(good dictionary, bad dictionary, weights) from rows (key, label, text): half make the dictionaries, half calibrate."""
-    rng = np.random.default_rng(seed)
-    rows = [sorted(sample)[i] for i in rng.permutation(len(sample))]
-    content, rest = {0: [], 1: []}, []
-    for c in (0, 1):
-        own_rows = [r for r in rows if r[1] == c]
-        cut = (len(own_rows) + 1) // 2
-        held = 0
-        for _, _, t in own_rows[:cut]:
-            b = t.encode("utf-8", "replace")
-            at = int(rng.integers(0, max(1, len(b) - PASSAGE + 1)))
-            if held < DICTIONARY:
-                content[c].append(b[at : at + PASSAGE])
-                held += len(content[c][-1])
-        rest += own_rows[cut:]
+def halves(sample: DataFrame) -> DataFrame:
+    """The sample with `teaches`: of every two rows, dealt by a hash of the key, about one goes into a dictionary."""
+    return sample.withColumn("teaches", F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(7)), F.lit(2)) == 0)
+
+
+def passages(sample: DataFrame) -> list[tuple[int, str]]:
+    """(label, passage) of the rows that teach, in order of their hashes: PASSAGE characters from a place that the hash names."""
+    h = F.xxhash64(F.col("key").cast("string"), F.lit(11))
+    at = F.pmod(h, F.greatest(F.length("text") - PASSAGE + 1, F.lit(1))).cast("int") + 1
+    rows = sample.where("teaches").select("label", F.substring("text", at, F.lit(PASSAGE)).alias("passage"), h.alias("h"), "key")
+    return [(r["label"], r["passage"]) for r in sorted(rows.collect(), key=lambda r: (r["h"], str(r["key"])))]
+
+
+def fit(df: DataFrame, labels: DataFrame, label: str, text: str, key: str, most: int = MAX_LABELLED) -> tuple[bytes, bytes, np.ndarray]:
+    """(good dictionary, bad dictionary, weights): half of the labelled rows make the dictionaries, half calibrate.
+
+    What comes to the driver is bounded: a passage of each row that teaches, nine numbers of each that calibrates.
+    """
+    sample = written(halves(labelled_sample(df, labels, label, most, key, text)), "labelled")
+    content: dict[int, list[bytes]] = {0: [], 1: []}
+    for c, passage in passages(sample):
+        if sum(map(len, content[c])) < DICTIONARY:
+            content[c].append(passage.encode("utf-8", "replace"))
     good, bad = (b"".join(content[c])[:DICTIONARY] for c in (1, 0))
-    y = np.array([r[1] for r in rest], float)
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sizes = Sizes(good, bad)
+        for b in batches:
+            x = sizes.features(b["text"].tolist())
+            yield pd.DataFrame({"key": b["key"].astype(str), "label": b["label"], "x": list(x)})
+
+    rest = sorted(sample.where("NOT teaches").mapInPandas(features, "key string, label int, x array<double>").collect(), key=lambda r: r["key"])
+    y = np.array([r["label"] for r in rest], float)
     if not 0 < y.sum() < len(y):  # nothing to tell apart: the share of good rows is the score
-        share = (sum(r[1] for r in rows) + 1) / (len(rows) + 2)
+        n, ones = sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        share = (ones + 1) / (n + 2)
         return good, bad, np.r_[np.zeros(9), np.log(share / (1 - share))]
-    return good, bad, logistic(Sizes(good, bad).features([r[2] for r in rest]), y)
+    return good, bad, logistic(np.array([r["x"] for r in rest]), y)
 
 
 _models: dict[int, Sizes] = {}
@@ -78,11 +94,12 @@ def quality(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     The score is the calibrated chance of label 1, from compressed sizes of the whole text alone.  Null and empty texts
     are scored as empty.  Rows of null key are scored and count as held out; without usable labels of both classes each
     row gets the share of label 1 among them (0.5 without any); other columns are ignored.
-    The fit reads `most` labelled rows of each class at most, so what goes to the driver and the workers is bounded.
+    The fit reads `most` labelled rows of each class at most, a repeated key once: half of them give a passage of PASSAGE
+    characters each to dictionaries of DICTIONARY bytes at most, the method's own parameters, and whole texts of the
+    other half calibrate.  So what goes to the driver and the workers is bounded.
     """
     spark = df.sparkSession
-    sample = [tuple(r) for r in labelled_sample(df, labels, label, most, key, text).collect()]
-    model = fit(sample)
+    model = fit(df, labels, label, text, key, most)
     model_id = hash(model[:2])
     shared = spark.sparkContext.broadcast(model)
     rows = own(df, key=key, text=text)

@@ -9,11 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._base import own, table
+from ._base import own, table, written
 from ._fit import held_out, labelled_sample, logistic, sigmoid
 
 #: Labelled rows that the model is fitted on, at most (the rows whose keys hash lowest).
@@ -30,19 +30,16 @@ def tokens(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of words under a Dirichlet prior shaped like both classes together, and signed roots of their likelihood ratios.
+def log_odds(toxic: Column, clean: Column, prior: Column, t_all: float, c_all: float, a_all: float) -> tuple[Column, Column]:
+    """Log-odds of a word under a Dirichlet prior shaped like both classes together, and the signed root of its likelihood ratio.
 
     The prior gives each word half a count at least, so that a word unseen in one class stays finite.
     """
-    both = toxic + clean
-    a = np.maximum(prior * both / max(both.sum(), 1), 0.5)
-    t, c = toxic.sum() + a.sum(), clean.sum() + a.sum()
-    odds = np.log((toxic + a) / (t - toxic - a)) - np.log((clean + a) / (c - clean - a))
-    share = max(toxic.sum(), 1e-9) / max(both.sum(), 1e-9)
-    part = lambda n, e: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum(e, 1e-9)), 0)
+    t, c, both, share = t_all + a_all, c_all + a_all, toxic + clean, t_all / (t_all + c_all)
+    odds = F.log((toxic + prior) / (t - toxic - prior)) - F.log((clean + prior) / (c - clean - prior))
+    part = lambda n, e: F.when(n > 0, n * F.log(n / e)).otherwise(0.0)
     ratio = 2 * (part(toxic, both * share) + part(clean, both * (1 - share)))
-    return odds, np.sign(toxic - both * share) * np.sqrt(np.maximum(ratio, 0))
+    return odds, F.signum(toxic - both * share) * F.sqrt(F.greatest(ratio, F.lit(0.0)))
 
 
 def segments(scores: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
@@ -120,23 +117,34 @@ def fit(df: DataFrame, labels: DataFrame, label: str, text: str, key: str, most:
             words = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": words, "toxic": [seen[1][w] for w in words], "clean": [seen[0][w] for w in words]}).astype({"word": str})
 
-    counts = sample.mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Only words seen in toxic rows can be toxic; how many there are is bounded by the sample.
-    totals = counts.agg(F.sum("toxic"), F.sum("clean"))
-    t_all, c_all = (int(x or 0) for x in totals.first())
-    rows = counts.where(f"toxic >= 3 AND toxic * {max(c_all, 1)}D > 2 * clean * {max(t_all, 1)}D").collect()
-    toxic = np.array([r["toxic"] for r in rows] + [t_all - sum(r["toxic"] for r in rows)], float)
-    clean = np.array([r["clean"] for r in rows] + [c_all - sum(r["clean"] for r in rows)], float)
-    odds, z = log_odds(toxic, clean) if t_all and c_all else (np.zeros(len(toxic)), np.zeros(len(toxic)))
-    own_words = [i for i in range(len(rows)) if z[i] >= LEAST_Z and odds[i] >= LEAST_ODDS]
-    lexicon = {rows[i]["word"]: float(odds[i]) for i in own_words}
+    counts = written(sample.mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "words")
+    t_all, c_all = (int(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean")).first())
+    # Words seen more often in clean rows cannot be toxic: they count as one.  Scores are computed where the counts are,
+    # and only the words of the lexicon, each seen often enough in a bounded sample, come to the driver.
+    likely = counts.where(f"toxic >= 3 AND toxic * {max(c_all, 1)}D > 2 * clean * {max(t_all, 1)}D")
+    own_prior = F.greatest(PRIOR * (F.col("toxic") + F.col("clean")) / max(t_all + c_all, 1), F.lit(0.5))
+    t_own, c_own, a_own = (float(x or 0) for x in likely.agg(F.sum("toxic"), F.sum("clean"), F.sum(own_prior)).first())
+    a_all = a_own + max(PRIOR * (t_all + c_all - t_own - c_own) / max(t_all + c_all, 1), 0.5)
+    lexicon, in_clean = {}, {}
+    if t_all and c_all:
+        odds, z = log_odds(F.col("toxic"), F.col("clean"), own_prior, t_all, c_all, a_all)
+        for r in likely.select("word", "clean", odds.alias("odds"), z.alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy("word").collect():
+            lexicon[r["word"]], in_clean[r["word"]] = r["odds"], r["clean"]
     drift = -math.log(1 - DENSITY)
-    p = np.array([clean[i] + 0.5 for i in own_words] + [max(c_all - clean[own_words].sum(), 1.0)])
-    lam = karlin_lambda(p / p.sum(), np.array([odds[i] for i in own_words] + [-drift]))
+    p = np.array([in_clean[w] + 0.5 for w in lexicon] + [max(c_all - sum(in_clean.values()), 1.0)])
+    lam = karlin_lambda(p / p.sum(), np.array([*lexicon.values(), -drift]))
     model = Model(lexicon, drift, lam, 1.0, np.array([1.0, 0, 0, 0]))
-    rows = labelled_sample(df, labels, label, calibrated, key, text).collect()
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [model.passages(t) for t in b["text"]]
+            yield pd.DataFrame({"key": b["key"].astype(str), "label": b["label"], "n": [len(w) for w, _ in found], "scores": [[s for _, _, s in f] for _, f in found]})
+
+    # Of each calibrating text, its length and the scores of its segments come to the driver.
+    rows = labelled_sample(df, labels, label, calibrated, key, text).mapInPandas(search, "key string, label int, n long, scores array<double>").collect()
+    rows = sorted(rows, key=lambda r: r["key"])
     y = np.array([r["label"] for r in rows], float)
-    seen = [(len(w), found) for w, found in (model.passages(r["text"]) for r in rows)]
+    seen = [(r["n"], [(0, 0, s) for s in r["scores"]]) for r in rows]
     # K by maximum likelihood for a Gumbel law of the best segment of clean rows.
     clean_rows = [(n, max((s for _, _, s in f), default=0.0)) for (n, f), c in zip(seen, y, strict=True) if c == 0]
     if clean_rows:

@@ -49,3 +49,19 @@ def test_decode_ids(library):
     codec = bpe.Codec(FILE)
     ids = [library.encode_ordinary(x) for x in ("héllo wörld", "", "\U0001f600 x")]
     assert codec.decode(ids) == [library.decode_bytes(x) for x in ids]
+
+
+def test_long_words_in_windows(library):
+    """Words far over a window, random and repetitive: one answer, in time that grows with their length."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    words = [pick(string.ascii_lowercase, 100_000), pick(string.ascii_letters, 20_000), pick("ACGT", 5_000), pick("ab", 5_000), "a" * 20_000, "abc" * 5_000, "the" * 500 + pick("xyz", 900) + "q" * 700]
+    words += [pick(string.ascii_lowercase, n) for n in range(120, 140)] + [pick("\u00e9\u4e00\U0001f600", 500), "=" * 4_000]
+    codec = bpe.Codec(FILE)
+    ids, n, raw = codec.encode(words)
+    for w, got, k, back in zip(words, ids.to_pylist(), n.to_pylist(), raw.to_pylist()):
+        want = library._core_bpe.encode_single_piece(w.encode())
+        assert [int(x) for x in got.split(" ")] == want and k == len(want) and back == w.encode()

@@ -44,6 +44,16 @@ def test_odd_rows(spark, f, label):
     assert f(df.limit(0), none, label=label).collect() == []
 
 
+def test_a_repeated_key_counts_once(spark):
+    from talus.llm import _fit
+
+    docs = clashing(spark, [(1, f"text {i}") for i in range(3000)] + [(2, "two"), (2, None), (3, "three"), (None, "none")])
+    labels = spark.createDataFrame([(k, c) for k in (1, 2, 3) for c in (1, 0, 1)] + [(3, None)], "doc_id long, quality int")
+    got = _fit.labelled_sample(docs, labels, "quality", 50).collect()
+    assert sorted((r["key"], r["label"]) for r in got) == [(k, 0) for k in (1, 2, 3) if zlib.crc32(str(k).encode()) % 5]
+    assert len(quality.quality(docs, labels).collect()) == len(toxicity.toxicity(docs, labels, label="quality").collect()) == 3004
+
+
 def test_segments_against_brute_force():
     rng = random.Random(3)
     for _ in range(200):
