@@ -12,6 +12,9 @@ share one with a chance of 2^-64).  Spark deals positions out by name and sorts
 
 Positions travel in packed blocks of numbers.  What a task can settle on its own it does not deal out: of a string
 that many documents of one task share, a single record goes on, so that frequent strings make no large bucket.
+
+Names only propose.  Before a position is marked, its bytes are compared with those of the first holder of its name, and
+a document is known by its key and the hash of its text, not by a hash of both.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._base import own, table, written
+from ._base import own, salt, salts_of, salts_seen, table, written
 
 LENGTH, BASE = 50, 16
 #: Bytes of text that a bucket of documents holds on average, and that are named at once.
@@ -74,8 +77,8 @@ def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         yield at, len(sizes)
 
 
-def _pack(columns: dict[str, np.ndarray], to: np.ndarray, name: str, extra: dict) -> Iterator[pa.RecordBatch]:
-    """A row for each value of `to`, with the other columns packed as bytes."""
+def _pack(columns: dict[str, np.ndarray | None], to: np.ndarray, name: str, extra: dict) -> Iterator[pa.RecordBatch]:
+    """A row for each value of `to`, with the other columns packed as bytes (none of a column that is None)."""
     order = np.argsort(to, kind="stable")
     to = to[order]
     if not len(to):
@@ -85,8 +88,7 @@ def _pack(columns: dict[str, np.ndarray], to: np.ndarray, name: str, extra: dict
     out = {name: pa.array(to[start].astype(np.int32))}
     out |= {k: pa.array(np.full(len(start), v, np.int32)) for k, v in extra.items()}
     for k, v in columns.items():
-        raw = v[order].tobytes()
-        w = v.dtype.itemsize
+        raw, w = (b"", 0) if v is None else (v[order].tobytes(), v.dtype.itemsize)
         out[k] = pa.array([raw[w * a : w * b] for a, b in zip(start, ends, strict=True)], pa.binary())
     yield pa.RecordBatch.from_pydict(out)
 
@@ -102,16 +104,50 @@ def _runs(doc: np.ndarray, pos: np.ndarray, low: np.ndarray | None = None) -> tu
     return doc[head], pos[head].astype(np.int64), np.diff(np.r_[head, len(doc)]).astype(np.int64), head
 
 
-def _not_first(name: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether a smaller document holds the same name: sorted by name and document, in the given order again."""
+def _not_first(name: np.ndarray, order: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether a smaller document holds the same string of `length` bytes; `at` is where in `data` each string begins.
+
+    Equal strings have equal names.  A string whose name a smaller document holds is compared with that holder's bytes;
+    should they differ, the strings of that name are told apart by their bytes.
+    """
     by = np.lexsort((order, name))
     n, o = name[by], order[by]
     new = np.r_[True, n[1:] != n[:-1]]
-    out = np.empty(len(name), bool)
-    out[by] = o > o[new][np.cumsum(new) - 1]
+    head = by[new][np.cumsum(new) - 1]
+    out = np.zeros(len(name), bool)
+    later = o > order[head]
+    mine, theirs = by[later], head[later]
+    out[mine] = True
+    view = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else None
+    for lo in range(0, len(mine), 1 << 16):
+        a, b = mine[lo : lo + (1 << 16)], theirs[lo : lo + (1 << 16)]
+        for x in np.unique(name[a[(view[at[a]] != view[at[b]]).any(1)]]):  # two strings of one name
+            least: dict[bytes, int] = {}
+            same = np.flatnonzero(name == x)
+            for i in same:
+                k = view[at[i]].tobytes()
+                least[k] = min(least.get(k, _LAST), int(order[i]))
+            out[same] = [order[i] > least[view[at[i]].tobytes()] for i in same]
     return out
 
 
+def _local(order: np.ndarray, fp: np.ndarray) -> np.uint64:
+    """A seed for which `_mixed` gives different documents of one task different numbers."""
+    pairs = len(set(zip(order.tolist(), fp.tolist(), strict=True)))
+    seed = np.uint64(0)
+    while len(np.unique(_mixed(order, fp, seed))) != pairs:
+        seed += np.uint64(1)
+    return seed
+
+
+def _mixed(order: np.ndarray, fp: np.ndarray, seed: np.uint64) -> np.ndarray:
+    return _pair(order.view(np.uint64) ^ seed, fp.view(np.uint64)).view(np.int64)
+
+
+def _db(order: np.ndarray, fp: np.ndarray, buckets: int) -> np.ndarray:
+    return (order ^ fp) % buckets  # as pmod does
+
+
 def _unpack(t: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in t.column(name).to_pylist()), kind)
 
@@ -130,23 +166,28 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
     rows = own(df, key=key, text=text, **more)
     kinds = dict(rows.dtypes)
     docs = rows.select(F.col("key"), *more, F.coalesce(F.col("key").cast("long"), F.lit(int(_LAST))).alias("ord"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    # Whole copies: the first row of equal texts stands for all of them.
-    postings = docs.select("ord", F.sha2("data", 256).alias("sha"), F.xxhash64("ord", "data").alias("rid"), F.octet_length("data").alias("size"))
+    docs = docs.withColumn("fp", F.xxhash64("data"))
+    # Whole copies: the first row of equal texts stands for all of them; the rows of a large group meet it in parts.
+    postings = docs.select("ord", F.unhex(F.sha2("data", 256)).alias("sha"), "fp", F.octet_length("data").alias("size"), salt("ord").alias("salt"))
     postings = written(postings, "postings")
     total = postings.agg(F.sum("size")).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    firsts = postings.groupBy("sha").agg(F.min("ord").alias("low")).select(F.col("sha").alias("k"), "low")
-    copies = postings.join(firsts, F.col("sha") == F.col("k")).where("ord > low").select("rid").distinct()
-    hexed = F.lpad(F.hex("rid"), 16, "0")
-    packed = F.unhex(F.concat(*[F.substring(hexed, i, 2) for i in range(15, 0, -2)]))  # little-endian
-    copies = copies.select(F.pmod("rid", F.lit(buckets)).cast("int").alias("db"), packed.alias("rid"), F.lit(None).cast("binary").alias("h"))
-    copies = written(copies, "copies")
-    docs = docs.withColumn("rid", F.xxhash64("ord", "data")).withColumn("db", F.pmod("rid", F.lit(buckets)).cast("int"))
+    firsts = postings.groupBy("sha").agg(F.min("ord").alias("low"), F.max("ord").alias("high"), salts_seen().alias("salts")).where("low < high")
+    firsts = firsts.select(F.col("sha").alias("k"), salts_of("salts").alias("k_salt"), "low")
+    copies = postings.join(firsts, (F.col("sha") == F.col("k")) & (F.col("salt") == F.col("k_salt"))).where("ord > low").select("ord", "fp").distinct()
+    db = F.pmod(F.col("ord").bitwiseXOR(F.col("fp")), F.lit(buckets)).cast("int")
+
+    def packed(c: str):  # little-endian
+        hexed = F.lpad(F.hex(c), 16, "0")
+        return F.unhex(F.concat(*[F.substring(hexed, i, 2) for i in range(15, 0, -2)])).alias(c)
+
+    copies = written(copies.select(db.alias("db"), packed("ord"), packed("fp"), F.lit(None).cast("binary").alias("h")), "copies")
+    docs = docs.withColumn("db", db)
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.column("data").to_pylist()
-            rid, fp, first = (batch.column(c).to_numpy() for c in ("rid", "fp", "ord"))
+            fp, first = (batch.column(c).to_numpy() for c in ("fp", "ord"))
             sizes = np.array([len(x) for x in data], np.int64)
             hs, docs_at = [], []
             for lo, hi in _cut(sizes, SLICE_BYTES):
@@ -172,41 +213,58 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
             shared = np.bincount(group)[group] > 1
             order = np.argsort(at, kind="stable")  # by document: what repeats packs well
             h, at, new_h, shared = h[order], at[order], new_h[order], shared[order]
-            send = ~shared | new_h
-            to = (h[send] >> np.uint64(40)).astype(np.int64) % buckets
-            yield from _pack({"h": h[send], "fp": np.where(shared, 0, fp[at])[send], "rid": np.where(shared, 0, rid[at])[send]}, to, "bucket", {"kind": 0})
-            yield from _pack({"h": h[shared], "fp": fp[at][shared], "rid": rid[at][shared]}, _to_rid(rid[at][shared], buckets), "bucket", {"kind": 1})
+            ids = lambda m: {"h": h[m], "fp": fp[at][m], "ord": first[at][m]}  # noqa: B023, E731
+            deal = lambda x: (x >> np.uint64(40)).astype(np.int64) % buckets
+            yield from _pack(ids(~shared), deal(h[~shared]), "bucket", {"kind": 0})
+            yield from _pack(ids(shared), _db(first[at][shared], fp[at][shared], buckets), "bucket", {"kind": 1})
+            several = h[shared & new_h]
+            yield from _pack({"h": several, "fp": None, "ord": None}, deal(several), "bucket", {"kind": 2})
+
+    schema_of_db = pa.schema([("db", pa.int32()), ("ord", pa.binary()), ("fp", pa.binary()), ("h", pa.binary())])
+
+    def by_db(order: np.ndarray, fp: np.ndarray, h: np.ndarray) -> pa.Table:
+        out = _pack({"ord": order, "fp": fp, "h": h}, _db(order, fp, buckets), "db", {})
+        return pa.Table.from_batches([b.select(schema_of_db.names) for b in out], schema_of_db)
+
+    def of_kind(t: pa.Table, kind: int) -> pa.Table:
+        return t.filter(pa.compute.equal(t.column("kind"), kind))
 
     def settle(t: pa.Table) -> pa.Table:
-        known, t = t.filter(pa.compute.equal(t.column("kind"), 1)), t.filter(pa.compute.equal(t.column("kind"), 0))
-        h, fp, rid = _unpack(t, "h", "<u8"), _unpack(t, "fp", "<i8"), _unpack(t, "rid", "<i8")
+        known, several, t = of_kind(t, 1), of_kind(t, 2), of_kind(t, 0)
+        h, fp, first = _unpack(t, "h", "<u8"), _unpack(t, "fp", "<i8"), _unpack(t, "ord", "<i8")
         order = np.lexsort((fp, h))
-        h, fp, rid = h[order], fp[order], rid[order]
+        h, fp, first = h[order], fp[order], first[order]
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
         differs = np.r_[False, (fp[1:] != fp[:-1]) & ~new[1:]] if len(h) else new
         group = np.cumsum(new) - 1
-        n = group[-1] + 1 if len(group) else 0
-        many = (np.bincount(group, differs, n) + np.bincount(group, rid == 0, n) > 0)[group] & (rid != 0) if n else new
-        h, rid = np.r_[h[many], _unpack(known, "h", "<u8")], np.r_[rid[many], _unpack(known, "rid", "<i8")]
-        out = list(_pack({"rid": rid, "h": h}, _to_rid(rid, buckets), "db", {}))
-        schema = pa.schema([("db", pa.int32()), ("rid", pa.binary()), ("h", pa.binary())])
-        return pa.Table.from_batches([b.select(["db", "rid", "h"]) for b in out], schema)
-
-    def left_copies(right: pa.Table) -> tuple[pa.Table, set]:
+        many = np.isin(h, _unpack(several, "h", "<u8"))
+        if len(h):
+            many |= (np.bincount(group, differs) > 0)[group]
+        both = lambda mine, name, kind: np.r_[mine[many], _unpack(known, name, kind)]
+        return by_db(both(first, "ord", "<i8"), both(fp, "fp", "<i8"), both(h, "h", "<u8"))
+
+    def left_copies(right: pa.Table, seed: np.uint64) -> tuple[np.ndarray, np.ndarray, set]:
+        """Documents by their local numbers: of each packed value, the values, and the whole copies."""
         alone = pa.compute.is_null(right.column("h"))
-        return right.filter(pa.compute.invert(alone)), set(_unpack(right.filter(alone), "rid", "<i8").tolist())
+        numbers = lambda t: _mixed(_unpack(t, "ord", "<i8"), _unpack(t, "fp", "<i8"), seed)
+        gone = set(numbers(right.filter(alone)).tolist())
+        right = right.filter(pa.compute.invert(alone))
+        return numbers(right), _unpack(right, "h", "<i8"), gone
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        right, gone = left_copies(right)
-        s_rid, s_h = _unpack(right, "rid", "<i8"), _unpack(right, "h", "<u8")
+        first, fp, data = left.column("ord").to_numpy(), left.column("fp").to_numpy(), left.column("data").to_pylist()
+        rid = _mixed(first, fp, seed := _local(first, fp))
+        s_rid, s_h, gone = left_copies(right, seed)
+        s_h = s_h.view(np.uint64)
         order = np.lexsort((s_h, s_rid))
         s_rid, s_h = s_rid[order], s_h[order]
-        rid, first, data = left.column("rid").to_numpy(), left.column("ord").to_numpy(), left.column("data").to_pylist()
         _, once = np.unique(rid, return_index=True)
         lo_at, hi_at = np.searchsorted(s_rid, rid, "left"), np.searchsorted(s_rid, rid, "right")
         use = [i for i in once if hi_at[i] > lo_at[i] and rid[i] not in gone]
         sizes = np.array([len(data[i]) for i in use], np.int64)
-        names, whose, where, lows = [], [], [], []
+        names, whose, where, lows, begins = [], [], [], [], []
+        whole = np.frombuffer(b"".join(data[i] for i in use), np.uint8)
+        begin = np.cumsum(sizes) - sizes
         for lo, hi in _cut(sizes, SLICE_BYTES):
             base, h = doubled(np.frombuffer(b"".join(data[i] for i in use[lo:hi]), np.uint8), BASE)
             low = sliding_min(base, length - BASE + 1)
@@ -221,15 +279,16 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
                 lows.append(mine[hit])
                 whose.append(np.full(len(hit), i))
                 where.append(hit)
+                begins.append(begin[k] + hit)
                 at += n
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ord", pa.binary()), ("rid", pa.binary()), ("run", pa.binary()), ("data", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ord", pa.binary()), ("fp", pa.binary()), ("run", pa.binary()), ("data", pa.binary())])
         if not names or not sum(map(len, names)):
             return schema.empty_table()
         name, low, doc, pos = np.concatenate(names), np.concatenate(lows), np.concatenate(whose), np.concatenate(where)
-        repeat = _not_first(name, first[doc])
+        repeat = _not_first(name, first[doc], whole, np.concatenate(begins), length)
         out = []
         d, start, size, _ = _runs(doc[repeat], pos[repeat])
-        out += _pack({"ord": first[d], "rid": rid[d], "run": start << 32 | size, "data": np.zeros(len(d), "S1")}, _to_rid(rid[d], buckets), "bucket", {"kind": 1})
+        out += _pack({"ord": first[d], "fp": fp[d], "run": start << 32 | size, "data": None}, _db(first[d], fp[d], buckets), "bucket", {"kind": 1})
         # Of what is first here, the text itself goes on, from the run's first byte to its last window's end.
         d, start, size, at = _runs(doc[~repeat], pos[~repeat], low[~repeat])
         to = (low[~repeat][at] >> np.uint64(40)).astype(np.int64) % buckets
@@ -237,38 +296,39 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         d, start, size, to = d[order], start[order], size[order], to[order]
         if len(d):
             text = [data[i][p : p + n + length - 1] for i, p, n in zip(d.tolist(), start.tolist(), size.tolist(), strict=True)]
-            (packed,) = _pack({"ord": first[d], "rid": rid[d], "run": start << 32 | size}, to, "bucket", {"kind": 0})
+            (dealt,) = _pack({"ord": first[d], "fp": fp[d], "run": start << 32 | size}, to, "bucket", {"kind": 0})
             cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1], True])
-            out.append(packed.append_column("data", pa.array([b"".join(text[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())))
+            out.append(dealt.append_column("data", pa.array([b"".join(text[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())))
         return pa.Table.from_batches([b.select(schema.names) for b in out], schema)
 
     def mark(t: pa.Table) -> pa.Table:
-        known, t = t.filter(pa.compute.equal(t.column("kind"), 1)), t.filter(pa.compute.equal(t.column("kind"), 0))
-        first, rid, run = _unpack(t, "ord", "<i8"), _unpack(t, "rid", "<i8"), _unpack(t, "run", "<i8")
-        known_rid, known_run = _unpack(known, "rid", "<i8"), _unpack(known, "run", "<i8")
+        known, t = of_kind(t, 1), of_kind(t, 0)
+        first, fp, run = _unpack(t, "ord", "<i8"), _unpack(t, "fp", "<i8"), _unpack(t, "run", "<i8")
+        w_first, w_fp, w_run = _unpack(known, "ord", "<i8"), _unpack(known, "fp", "<i8"), _unpack(known, "run", "<i8")
         if len(run):
             start, size = run >> 32, run & 0xFFFFFFFF
-            names, _ = doubled(_unpack(t, "data", np.uint8), length)
+            data = _unpack(t, "data", np.uint8)
+            names, _ = doubled(data, length)
             i = np.repeat(np.arange(len(run)), size)
             step = np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
             offset = np.cumsum(size + length - 1) - (size + length - 1)
-            repeat = _not_first(names[offset[i] + step], first[i])
-            w_rid, w_pos = rid[i[repeat]], start[i[repeat]] + step[repeat]
-            order = np.lexsort((w_pos, w_rid))
-            d, start, size, _ = _runs(w_rid[order], w_pos[order])
-            known_rid, known_run = np.r_[known_rid, d], np.r_[known_run, start << 32 | size]
-        schema = pa.schema([("db", pa.int32()), ("rid", pa.binary()), ("h", pa.binary())])
-        out = _pack({"rid": known_rid, "h": known_run}, _to_rid(known_rid, buckets), "db", {})
-        return pa.Table.from_batches([b.select(schema.names) for b in out], schema)
+            repeat = _not_first(names[offset[i] + step], first[i], data, offset[i] + step, length)
+            i, pos = i[repeat], start[i[repeat]] + step[repeat]
+            order = np.lexsort((pos, fp[i], first[i]))
+            i, pos = i[order], pos[order]
+            ids = np.cumsum(np.r_[0, (first[i[1:]] != first[i[:-1]]) | (fp[i[1:]] != fp[i[:-1]])]) if len(i) else i
+            _, start, size, head = _runs(ids, pos)
+            w_first, w_fp, w_run = np.r_[w_first, first[i[head]]], np.r_[w_fp, fp[i[head]]], np.r_[w_run, start << 32 | size]
+        return by_db(w_first, w_fp, w_run)
 
     names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "rest"] * with_text
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        right, gone = left_copies(right)
-        m_rid, m_run = _unpack(right, "rid", "<i8"), _unpack(right, "h", "<i8")
+        first, fp = left.column("ord").to_numpy(), left.column("fp").to_numpy()
+        rid = _mixed(first, fp, seed := _local(first, fp))
+        m_rid, m_run, gone = left_copies(right, seed)
         order = np.lexsort((m_run, m_rid))
         m_rid, m_run = m_rid[order], m_run[order]
-        rid = left.column("rid").to_numpy()
         lo, hi = np.searchsorted(m_rid, rid, "left"), np.searchsorted(m_rid, rid, "right")
         out: list[list] = [[] for _ in names]
         for i, x in enumerate(left.column("data").to_pylist()):
@@ -293,21 +353,17 @@ def repeats(df: DataFrame, length: int = LENGTH, text: str = "text", key: str =
         made = [pa.array(v, t) for v, t in zip(out, kinds_of, strict=False)][: len(names) - 1]
         return pa.Table.from_arrays([left.column("key"), *(left.column(c) for c in more), *made], names=["key", *more, *names[1:]])
 
-    found = docs.select("rid", F.xxhash64("data").alias("fp"), "ord", "data").mapInArrow(W.lean(minima), "bucket int, kind int, h binary, fp binary, rid binary")
-    survivors = found.groupBy("bucket").applyInArrow(lambda t: W.released(settle(t)), "db int, rid binary, h binary")
-    by_doc = docs.select("db", "key", *more, "rid", "ord", "data").groupBy("db")
-    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(lambda left, right: W.released(windows(left, right)), "bucket int, kind int, ord binary, rid binary, run binary, data binary")
-    marked = dealt.groupBy("bucket").applyInArrow(lambda t: W.released(mark(t)), "db int, rid binary, h binary")
+    found = docs.select("fp", "ord", "data").mapInArrow(W.lean(minima), "bucket int, kind int, h binary, fp binary, ord binary")
+    survivors = found.groupBy("bucket").applyInArrow(lambda t: W.released(settle(t)), "db int, ord binary, fp binary, h binary")
+    by_doc = docs.select("db", "key", *more, "fp", "ord", "data").groupBy("db")
+    dealt = by_doc.cogroup(survivors.unionByName(copies).groupBy("db")).applyInArrow(lambda left, right: W.released(windows(left, right)), "bucket int, kind int, ord binary, fp binary, run binary, data binary")
+    marked = dealt.groupBy("bucket").applyInArrow(lambda t: W.released(mark(t)), "db int, ord binary, fp binary, h binary")
     out = by_doc.cogroup(marked.unionByName(copies).groupBy("db")).applyInArrow(
         lambda left, right: W.released(remove(left, right)), f"key {kinds['key']}, " + "".join(f"{c} {kinds[c]}, " for c in more) + "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, rest string" * with_text
     )
     return out.select(F.col("key").alias(key), *[F.col(c).alias(old) for c, old in more.items()], *names[1:])
 
 
-def _to_rid(rid: np.ndarray, buckets: int) -> np.ndarray:
-    return rid.astype(np.int64) % buckets  # as pmod does
-
-
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"), with_text=False)
 

@@ -62,3 +62,25 @@ def test_names_of_equal_strings_are_equal():
         for i in range(len(name)):
             want.setdefault(bytes(x[i : i + n]), set()).add(int(name[i]))
         assert all(len(v) == 1 for v in want.values()) and len({next(iter(v)) for v in want.values()}) == len(want)
+
+
+def test_names_that_collide_do_not_mark(spark, monkeypatch):
+    """Names of 12 bits: many strings share one, and only their bytes tell them apart."""
+    pair = S._pair
+    monkeypatch.setattr(S, "_pair", lambda a, b: pair(a, b) & np.uint64(0xFFF))
+    rng = random.Random(7)
+    data = np.frombuffer(bytes(rng.choice(b"abcd") for _ in range(3000)) * 2, np.uint8)
+    at = np.arange(len(data) - 49)
+    name, _ = S.doubled(data, 50)
+    order = (at >= 3000).astype(np.int64)
+    first = {}
+    for i in at:
+        first.setdefault(data[i : i + 50].tobytes(), order[i])
+    want = [order[i] > first[data[i : i + 50].tobytes()] for i in at]
+    assert S._not_first(name, order, data, at, 50).tolist() == want and 0 < sum(want) < len(want)
+
+
+def test_documents_of_one_number_are_told_apart():
+    order, fp = np.array([1, 1, 2, 2], np.int64), np.array([5, 6, 5, 5], np.int64)
+    seed = S._local(order, fp)
+    assert len(set(S._mixed(order, fp, seed).tolist())) == 3
