@@ -46,10 +46,9 @@ def idw_fill(cells: DataFrame, reach: int = 8, enough: int = 12) -> DataFrame:
 
 def steepness(cells: DataFrame, size: float) -> DataFrame:
     """row, col, slope: greatest step to one of four neighbours over the cell's size."""
-    near = G.neighbourhood(cells, 1)
-    mid = F.try_element_at("near", F.lit(0))
-    steps = [F.abs(F.try_element_at("near", F.lit(k)) - mid) for k in (-3, 3, -1, 1)]
-    return near.select("row", "col", (F.coalesce(F.greatest(*steps), F.lit(0.0)) / size).alias("slope"))
+    mid = F.col(G.near(0, 0))
+    steps = [F.abs(F.col(G.near(*d)) - mid) for d in ((-1, 0), (1, 0), (0, -1), (0, 1))]
+    return G.neighbours(cells).select("row", "col", (F.coalesce(F.greatest(*steps), F.lit(0.0)) / size).alias("slope"))
 
 
 def ground(pts: DataFrame, size: float, max_window: int = 4, threshold: float = 0.5, tilt: float = 0.15, scale: float = 1.25, cap: float = 2.5) -> DataFrame:

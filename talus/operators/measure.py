@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..shared import order_statistics
 
 
 def cut_fill(pts: DataFrame, ring: list, base: float) -> DataFrame:
@@ -17,14 +18,14 @@ def cut_fill(pts: DataFrame, ring: list, base: float) -> DataFrame:
     share = F.lit(area) / F.nullif(F.count("*"), F.lit(0))
     inside = pts.where(E.polygon_contains(F.col("x"), F.col("y"), ring))
     fill, cut = F.sum(F.greatest(d, F.lit(0.0))) * share, F.sum(F.greatest(-d, F.lit(0.0))) * share
-    return inside.agg(F.count("*").alias("n"), fill.alias("fill"), cut.alias("cut"), (fill - cut).alias("net"), F.lit(area).alias("footprint"), F.median(F.abs(d)).alias("median_abs"))
+    return inside.agg(F.count("*").alias("n"), fill.alias("fill"), cut.alias("cut"), (fill - cut).alias("net"), F.lit(area).alias("footprint")).join(F.broadcast(order_statistics(inside.select(F.abs(d).alias("d")), {"median_abs": ("d", 0.5)})), how="left")
 
 
 def stockpile(pts: DataFrame, ring: list, p: float = 0.05) -> DataFrame:
     """Volume over the p-quantile of the heights inside the ring, and its standard error from their spread."""
     area = E.ring_area(ring)
     inside = pts.where(E.polygon_contains(F.col("x"), F.col("y"), ring)).select("z")
-    base = inside.agg(F.percentile("z", p).alias("base"))
+    base = order_statistics(inside, {"base": ("z", p)})
     d = inside.join(F.broadcast(base)).withColumn("d", F.col("z") - F.col("base"))
     return d.agg(F.first("base").alias("base"), (F.sum("d") / F.count("*") * area).alias("volume"), (F.stddev_samp("d") / F.sqrt(F.count("*")) * area).alias("sigma"), F.count("*").alias("n"))
 

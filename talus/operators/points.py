@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..shared import order_statistics, ranked
 
 
 def range_filter(pts: DataFrame, col: str, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -91,8 +92,10 @@ def density(pts: DataFrame, size: float) -> DataFrame:
 
 def density_stats(pts: DataFrame, size: float) -> DataFrame:
     """Mean, greatest and the floor-index 95th percentile of cell densities."""
-    d = F.sort_array(F.collect_list("density"))
-    return density(pts, size).agg(F.count("*").alias("cells"), F.avg("density").alias("mean"), F.max("density").alias("max"), F.element_at(d, F.floor(F.lit(0.95) * (F.size(d) - 1)).cast("int") + 1).alias("p95"))
+    d = density(pts, size)
+    at = F.floor(F.lit(0.95) * (F.col("n") - 1))
+    p95 = ranked(d, ["density"]).where((F.col("place") <= at) & (at < F.col("place") + F.col("m"))).select(F.col("v").alias("p95"))
+    return d.agg(F.count("*").alias("cells"), F.avg("density").alias("mean"), F.max("density").alias("max")).join(F.broadcast(p95), how="left")
 
 
 def duplicates(pts: DataFrame) -> DataFrame:
@@ -102,9 +105,10 @@ def duplicates(pts: DataFrame) -> DataFrame:
 
 def stray_outliers(pts: DataFrame, factor: float = 8.0) -> DataFrame:
     """Points farther than `factor` median absolute deviations from the median on any axis."""
-    middle = pts.agg(*[F.median(c).alias(f"m{c}") for c in "xyz"])
+    middle = order_statistics(pts, {f"m{c}": (c, 0.5) for c in "xyz"})
     with_m = pts.join(F.broadcast(middle))
-    spread = with_m.agg(*[F.median(F.abs(F.col(c) - F.col(f"m{c}"))).alias(f"d{c}") for c in "xyz"])
+    off = with_m.select(*[F.abs(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
+    spread = order_statistics(off, {f"d{c}": (c, 0.5) for c in "xyz"})
     far = F.lit(False)
     for c in "xyz":
         far = far | (F.abs(F.col(c) - F.col(f"m{c}")) > F.lit(factor) * F.greatest(F.col(f"d{c}"), F.lit(1e-9)))
@@ -129,9 +133,10 @@ def reclassify_ids(pts: DataFrame, ids: DataFrame, new: int) -> DataFrame:
 
 def percentile_range(pts: DataFrame, col: str, low: float = 5.0, high: float = 95.0) -> DataFrame:
     """Values at floor(p/100 * n) of the sorted column (no interpolation); equal ends give the full range."""
-    v = F.sort_array(F.collect_list(col))
-    at = lambda p: F.element_at(v, F.least(F.floor(F.lit(p / 100.0) * F.size(v)).cast("int"), F.size(v) - 1) + 1)
-    r = pts.agg(at(low).alias("lo"), at(high).alias("hi"), F.min(col).alias("least"), F.max(col).alias("most"))
+    rows = ranked(pts, [col])
+    place = lambda p: F.least(F.floor(F.lit(p / 100.0) * F.col("n")), F.col("n") - 1)
+    at = lambda p: F.max(F.when((F.col("place") <= place(p)) & (place(p) < F.col("place") + F.col("m")), F.col("v")))
+    r = rows.agg(at(low).alias("lo"), at(high).alias("hi"), F.min("v").alias("least"), F.max("v").alias("most"))
     same = F.col("lo") >= F.col("hi")
     return r.select(F.when(same, F.col("least")).otherwise(F.col("lo")).alias("lo"), F.when(same, F.col("most")).otherwise(F.col("hi")).alias("hi"))
 

@@ -103,7 +103,7 @@ def _march() -> str:
     union = " UNION ALL ".join(f"SELECT v AS level, {at[e[0]][0]} AS x1, {at[e[0]][1]} AS y1, {at[e[1]][0]} AS x2, {at[e[1]][1]} AS y2 FROM lv WHERE {cond}" for cond, e in arms)
     return f"""sq AS (SELECT p.r, p.c AS col, p.z AS a, q.z AS b, s.z AS c, t.z AS d FROM dtm p JOIN dtm q ON q.r = p.r AND q.c = p.c + 1 JOIN dtm s ON s.r = p.r + 1 AND s.c = p.c + 1 JOIN dtm t ON t.r = p.r + 1 AND t.c = p.c),
 lv0 AS (SELECT *, unnest(range(CAST(ceil(least(a, b, c, d) / 10) AS BIGINT), CAST(floor(greatest(a, b, c, d) / 10) AS BIGINT) + 1)) * 10.0::DOUBLE AS v FROM sq),
-lv AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS px, (r + 0.5::DOUBLE) * 10 AS py, (a + b + c + d) / 4 >= v AS mid, (a >= v)::INT + 2 * (b >= v)::INT + 4 * (c >= v)::INT + 8 * (d >= v)::INT AS code FROM lv0),
+lv AS (SELECT *, (col + 0.5::DOUBLE) * 10 AS px, (r + 0.5::DOUBLE) * 10 AS py, CASE WHEN abs(a + c - b - d) > 1e-12 THEN (a * c - b * d) / (a + c - b - d) ELSE (a + b + c + d) / 4 END >= v AS mid, (a >= v)::INT + 2 * (b >= v)::INT + 4 * (c >= v)::INT + 8 * (d >= v)::INT AS code FROM lv0),
 seg AS ({union})"""
 
 
@@ -159,8 +159,8 @@ ORACLE_SQL = {
         f"SELECT {ROW}, least(greatest(floor(sum((0.5 + 0.5 * greatest(facing, 0)) * greatest({_COS!r}::DOUBLE * cos(a) + {_SIN!r}::DOUBLE * sin(a) * facing, 0)) / sum(0.5 + 0.5 * greatest(facing, 0)) * 255 + 0.5), 0), 255) AS shade FROM f GROUP BY r, c",
     ),
     "tpi": _q(
-        [*MEAN, "off(dr, dc) AS (VALUES " + ", ".join(map(str, _DISC)) + ")", "t AS (SELECT d.r, d.c, d.z - avg(o.z) AS tpi FROM dtm d, off JOIN dtm o ON o.r = d.r + dr AND o.c = d.c + dc GROUP BY d.r, d.c, d.z)", "s AS (SELECT avg(tpi) AS m, stddev_pop(tpi) AS s FROM t)"],
-        f"SELECT {ROW}, round(tpi, 6) AS tpi, CASE WHEN (tpi - m) / s > 1 THEN 5 WHEN (tpi - m) / s > 0.5 THEN 4 WHEN (tpi - m) / s >= -0.5 THEN 3 WHEN (tpi - m) / s >= -1 THEN 2 ELSE 1 END AS class FROM t, s",
+        [*HORN, "off(dr, dc) AS (VALUES " + ", ".join(map(str, _DISC)) + ")", "t AS (SELECT d.r, d.c, d.z - avg(o.z) AS tpi FROM dtm d, off JOIN dtm o ON o.r = d.r + dr AND o.c = d.c + dc GROUP BY d.r, d.c, d.z)", "s AS (SELECT avg(tpi) AS m, stddev_pop(tpi) AS s FROM t)"],
+        f"SELECT t.r AS \"row\", t.c AS col, round(tpi, 6) AS tpi, CASE WHEN (tpi - m) / s > 1 THEN 6 WHEN (tpi - m) / s > 0.5 THEN 5 WHEN (tpi - m) / s >= -0.5 THEN CASE WHEN slope > {math.tan(math.radians(5))!r}::DOUBLE THEN 4 ELSE 3 END WHEN (tpi - m) / s >= -1 THEN 2 ELSE 1 END AS class FROM t JOIN s ON TRUE LEFT JOIN h ON h.r = t.r AND h.c = t.c",
     ),
     "vrm": _q([*HORN, "u AS (SELECT r, c, sin(atan(slope)) * cos(aspect) AS nx, sin(atan(slope)) * sin(aspect) AS ny, cos(atan(slope)) AS nz FROM h)"], "SELECT a.r AS \"row\", a.c AS col, round(1 - sqrt(sum(b.nx) ** 2 + sum(b.ny) ** 2 + sum(b.nz) ** 2) / count(*), 6) AS vrm FROM u a JOIN u b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY 1, 2"),
     "morph_open": _q([PTS, KEYED, _dtm("min(z)"), _erosion("min", "dtm", "er"), _erosion("max", "er", "di")], f"SELECT {ROW}, round(z, 6) AS z FROM di"),

@@ -139,7 +139,7 @@ QUERIES = {
     "slope_stats": lambda s, d: _round(G.slope_stats(_horn(s, d))),
     "hillshade": lambda s, d: G.hillshade(_horn(s, d)),
     "multi_hillshade": lambda s, d: G.multi_hillshade(_horn(s, d)),
-    "tpi": lambda s, d: _round(G.tpi(_dtm(s, d), 2)),
+    "tpi": lambda s, d: _round(G.tpi(_dtm(s, d), 2, _horn(s, d))),
     "vrm": lambda s, d: _round(G.vrm(_horn(s, d))),
     "morph_open": lambda s, d: _round(G.opened(_dtm(s, d, "min"), 2)),
     "despike": lambda s, d: _round(G.spikes(_dtm(s, d), 2.0)),
