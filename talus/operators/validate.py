@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
+from ..shared import order_statistics
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -19,16 +20,15 @@ def confusion(pairs: DataFrame) -> DataFrame:
 
 def checkpoints(points: DataFrame) -> DataFrame:
     """points(stratum, error) -> per stratum and pooled (null stratum): mean error, RMSE, MAE, NMAD, 95th percentile."""
-    with_m = points.select("stratum", "error").withColumn("m", F.expr("median(error) OVER (PARTITION BY stratum)"))
-    by = with_m.groupBy("stratum")
-    pooled = points.agg(F.median("error").alias("m"))
-    both = by_stats(by).unionByName(by_stats(points.select("error").join(F.broadcast(pooled)).withColumn("stratum", F.lit(None).cast("string")).groupBy("stratum")))
-    return both
-
-
-def by_stats(grouped) -> DataFrame:
+    rows = points.select(F.col("stratum").cast("string").alias("stratum"), "error")
+    rows = rows.unionByName(rows.withColumn("stratum", F.lit(None).cast("string")))
+    same = lambda df, name: df.withColumnRenamed("stratum", name)
+    middle = order_statistics(rows, {"m": ("error", 0.5)}, "stratum")
+    off = rows.join(same(middle, "of"), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", F.abs("error").alias("size"), F.abs(F.col("error") - F.col("m")).alias("off"))
+    ranks = order_statistics(off, {"nmad": ("off", 0.5), "p95": ("size", 0.95)}, "stratum").withColumn("nmad", 1.4826 * F.col("nmad"))
     e = F.col("error")
-    return grouped.agg(F.count("*").alias("n"), F.avg(e).alias("me"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), (1.4826 * F.median(F.abs(e - F.col("m")))).alias("nmad"), F.percentile(F.abs(e), 0.95).alias("p95"))
+    sums = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.avg(e).alias("me"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+    return sums.join(same(ranks, "of"), F.col("stratum").eqNullSafe(F.col("of"))).drop("of")
 
 
 def strata_rollup(points: DataFrame) -> DataFrame:
@@ -77,3 +77,52 @@ def jackknife_error(samples: DataFrame) -> DataFrame:
     est = samples.agg(F.avg("value").alias("est"))
     s = j.agg(F.avg("without").alias("m"), F.var_pop("without").alias("v"), F.first("k").alias("k"))
     return s.join(F.broadcast(est)).select(F.sqrt((F.col("k") - 1) * F.col("v")).alias("se"), ((F.col("k") - 1) * (F.col("m") - F.col("est"))).alias("bias"))
+
+
+#: Classes that are scored (ASPRS ground, low, medium and high vegetation, building), and codes of rates.
+SCORED, UNCLASSIFIED, GROUND, BUILDING, LOW_NOISE = (2, 3, 4, 5, 6), 1, 2, 6, 7
+
+
+def class_scores(pairs: DataFrame, codes: tuple = SCORED) -> DataFrame:
+    """pairs(scene, truth, predicted) -> support, predicted, tp, fp, fn, precision, recall, f1 of each scene and class, and of all scenes (null)."""
+    hits = pairs.rollup("scene").agg(*[f.alias(f"{n}{k}") for k in codes for n, f in (("s", F.count_if(F.col("truth") == k)), ("p", F.count_if(F.col("predicted") == k)), ("t", F.count_if((F.col("truth") == k) & (F.col("predicted") == k))))])
+    rows = hits.select("scene", F.explode(F.array(*[F.struct(F.lit(k).alias("code"), *[F.col(f"{n}{k}").alias(n) for n in "spt"]) for k in codes])).alias("x")).select("scene", "x.*")
+    rows = rows.select("scene", "code", F.col("s").alias("support"), F.col("p").alias("predicted"), F.col("t").alias("tp"), (F.col("p") - F.col("t")).alias("fp"), (F.col("s") - F.col("t")).alias("fn"))
+    rows = rows.withColumns({"precision": F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")), "recall": F.when(F.col("support") > 0, F.col("tp") / F.col("support"))})
+    both = F.col("precision") + F.col("recall")
+    return rows.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).when(both == 0, 0.0))
+
+
+def scene_scores(pairs: DataFrame, codes: tuple = SCORED) -> DataFrame:
+    """scene (null: pooled), points, macro_f1 (classes without support and prediction aside), unclassified, false_building and low-noise counts."""
+    seen = (F.col("support") > 0) | (F.col("predicted") > 0)
+    macro = class_scores(pairs, codes).groupBy(F.col("scene").alias("of")).agg(F.avg(F.when(seen, F.coalesce("f1", F.lit(0.0)))).alias("macro_f1"))
+    t, p = F.col("truth"), F.col("predicted")
+    rates = pairs.rollup("scene").agg(
+        F.count("*").alias("points"), (F.count_if(p == UNCLASSIFIED) / F.count("*")).alias("unclassified"),
+        (F.count_if((t != BUILDING) & (p == BUILDING)) / F.nullif(F.count_if(t != BUILDING), F.lit(0))).alias("false_building"),
+        F.count_if(t == LOW_NOISE).alias("low_noise"), F.count_if((t == LOW_NOISE) & (p == GROUND)).alias("low_noise_as_ground"),
+    )
+    return rates.join(macro, F.col("scene").eqNullSafe(F.col("of"))).drop("of")
+
+
+def block_holdout(pts: DataFrame, size: float, block: float, folds: int = 5) -> DataFrame:
+    """Spatial cross-validation: whole blocks are held out fold by fold and predicted from the other folds.
+
+    A prediction is the mean of the other folds' points in the cell and its eight neighbours; a point without any is
+    uncovered.  Blocks go to folds by their place.  One row: n, uncovered, rmse, mae, bias, the spread of the blocks' own
+    errors and their number.  Means come from sums for each cell and fold, so that no point is copied.
+    """
+    from .grid import _sent
+
+    at = lambda c, s: E.cell(F.col(c), s)
+    rows = pts.select(at("y", size).alias("row"), at("x", size).alias("col"), at("x", block).alias("bx"), at("y", block).alias("by"), "z")
+    rows = rows.withColumn("fold", F.pmod(F.col("bx") * 31 + F.col("by") * 17, F.lit(folds)).cast("int"))
+    sums = rows.groupBy("row", "col", "fold").agg(F.sum("z").alias("s"), F.count("z").alias("n"))
+    around = _sent(sums, [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]).groupBy("row", "col", "fold").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    whole = around.groupBy("row", "col").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
+    others = around.join(whole, ["row", "col"]).select("row", "col", "fold", ((F.col("ts") - F.col("s")) / F.nullif(F.col("tn") - F.col("n"), F.lit(0))).alias("p"))
+    e = rows.join(others, ["row", "col", "fold"]).withColumn("e", F.col("z") - F.col("p"))
+    spread = e.groupBy("bx", "by").agg(F.avg("e").alias("b")).agg(F.stddev_samp("b").alias("block_sd"), F.count("*").alias("blocks"))
+    total = e.agg(F.count("*").alias("n"), F.count_if(F.col("p").isNull()).alias("uncovered"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"))
+    return total.join(F.broadcast(spread))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .plans.oracle import ORACLE_SQL
-from .plans.queries import QUERIES
+from .plans import assessment, oracle, queries
+
+QUERIES = queries.QUERIES | assessment.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | assessment.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -149,3 +149,18 @@ def order_statistics(df: DataFrame, wanted: dict[str, tuple[str, float | Column]
         out.append((a + (b - a) * f).alias(name))
     got = rows.groupBy("by").agg(*out)
     return got.withColumnRenamed("by", by) if by else got.drop("by")
+
+
+def running(df: DataFrame, by: list[Column], value: str) -> DataFrame:
+    """df with `before` and `total`, the sums of `value` before and with each row in a total order.
+
+    Ranges are sorted apart, and the sums of the ranges before are added: one row for each range goes through a window
+    of its own, no row of df does.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(df.repartitionByRange(n, *by).withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("part").agg(F.sum(value).alias("t"))
+    base = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inner = F.sum(value).over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranged.withColumn("inner", inner).join(F.broadcast(base), F.col("part") == F.col("p")).withColumn("total", F.col("inner") + F.col("base"))
+    return out.withColumn("before", F.col("total") - F.col(value)).drop("part", "p", "inner", "base")

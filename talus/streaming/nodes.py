@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import running
+
 
 def node_scores(nodes: DataFrame, cap: int) -> DataFrame:
     """(cap - depth + 1) * 1000 + the size on screen in thousandths, at most 999; nodes below the cap go."""
@@ -12,32 +14,23 @@ def node_scores(nodes: DataFrame, cap: int) -> DataFrame:
     return nodes.where(F.col("depth") <= cap).withColumn("score", ((F.lit(cap) - F.col("depth") + 1) * 1000 + size).cast("long"))
 
 
-def _totals(df: DataFrame, by: list, value: str, parts: int = 16) -> DataFrame:
-    """Running totals in a total order: sort ranges apart, then add the totals of the ranges before."""
-    ranged = df.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id())
-    inner = F.sum(value).over(Window.partitionBy("part").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    sums = ranged.groupBy("part").agg(F.sum(value).alias("t"))
-    base = sums.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    return ranged.withColumn("inner", inner).join(F.broadcast(base), "part").withColumn("total", F.col("inner") + F.col("base")).drop("part", "inner", "base")
-
-
 def within_budget(nodes: DataFrame, budget: int) -> DataFrame:
     """nodes(key, score, point_count): best first while the total stays within the budget; the first always; score 0 never."""
     good = nodes.where("score > 0")
-    t = _totals(good, [F.col("score").desc(), F.col("key")], "point_count")
+    t = running(good, [F.col("score").desc(), F.col("key")], "point_count")
     return t.where((F.col("total") <= budget) | (F.col("total") == F.col("point_count")))
 
 
 def sampling_plan(nodes: DataFrame, points: int) -> DataFrame:
     """Shallow and large nodes first until the points are reached: the node that reaches them is the last."""
-    t = _totals(nodes, [F.col("depth"), F.col("point_count").desc(), F.col("key")], "point_count")
+    t = running(nodes, [F.col("depth"), F.col("point_count").desc(), F.col("key")], "point_count")
     return t.where(F.col("total") - F.col("point_count") < points)
 
 
 def eviction_plan(nodes: DataFrame, budget: int, release: float) -> DataFrame:
     """nodes(key, rank, depth, distance, point_count): worst first until what stays is within budget * release."""
     total = nodes.agg(F.sum("point_count").alias("resident"))
-    t = _totals(nodes, [F.col("rank").desc(), F.col("depth").desc(), F.col("distance").desc(), F.col("key")], "point_count")
+    t = running(nodes, [F.col("rank").desc(), F.col("depth").desc(), F.col("distance").desc(), F.col("key")], "point_count")
     t = t.join(F.broadcast(total))
     return t.where((F.col("resident") > budget) & (F.col("resident") - (F.col("total") - F.col("point_count")) > F.lit(budget * release))).drop("resident")
 
