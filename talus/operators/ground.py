@@ -9,19 +9,23 @@ from ..functions import exprs as E
 from . import grid as G
 
 
-def holes(cells: DataFrame) -> DataFrame:
-    """row, col of the absent cells inside the box around the present ones."""
-    box = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where("r0 IS NOT NULL")
-    full = box.select(F.explode(F.sequence("r0", "r1")).alias("row"), "c0", "c1").select("row", F.explode(F.sequence("c0", "c1")).alias("col"))
-    return full.join(cells.select("row", "col"), ["row", "col"], "left_anti")
+def _inside(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """Rows of found(row, col, ...) inside the box around the cells that are none of them."""
+    box = cells.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
+    within = F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1"))
+    absent = found.join(cells.select("row", "col"), ["row", "col"], "left_anti")
+    return absent.join(F.broadcast(box)).where(within).drop("r0", "r1", "c0", "c1")
 
 
 def _reached(cells: DataFrame, reach: int) -> DataFrame:
-    """Each hole with each present cell within `reach` of it: row, col, dr, dc, z.  Cells go to their neighbours by key."""
+    """Each hole with each present cell within `reach` of it: row, col, dr, dc, z.
+
+    Cells go to their neighbours by key, so that holes come from the cells next to them and the box is never laid out.
+    """
     side = F.sequence(F.lit(-reach), F.lit(reach))
     sent = cells.select("row", "col", "z", F.explode(side).alias("dr")).select("*", F.explode(side).alias("dc"))
     sent = sent.select((F.col("row") - F.col("dr")).alias("row"), (F.col("col") - F.col("dc")).alias("col"), "dr", "dc", "z")
-    return holes(cells).join(sent, ["row", "col"])
+    return _inside(sent, cells)
 
 
 def nearest_fill(cells: DataFrame, reach: int) -> DataFrame:
@@ -81,7 +85,9 @@ def holdout(pts: DataFrame, size: float, fold: int = 5) -> DataFrame:
 
 def status(cells: DataFrame, confidence: DataFrame, edge: int = 3) -> DataFrame:
     """state, cells: measured cells, low-confidence ones (below 33) and holes by how far they lie from data."""
-    low = confidence.select("row", "col", F.when(F.col("confidence") < 33, "low").otherwise("measured").alias("state"))
-    far = holes(cells).join(G.edge_distance(cells, edge), ["row", "col"], "left")
-    empty = far.select("row", "col", F.when(F.col("dist") < edge, "interpolated").when(F.col("dist") == edge, "edge").otherwise("empty").alias("state"))
-    return low.unionByName(empty).groupBy("state").agg(F.count("*").alias("cells"))
+    low = confidence.select(F.when(F.col("confidence") < 33, "low").otherwise("measured").alias("state"))
+    near = _inside(G.edge_distance(cells, edge), cells).select(F.when(F.col("dist") < edge, "interpolated").otherwise("edge").alias("state"))
+    seen = low.unionByName(near).groupBy("state").agg(F.count("*").alias("cells"))
+    box = cells.agg(((F.max("row") - F.min("row") + 1) * (F.max("col") - F.min("col") + 1)).alias("all"))
+    rest = seen.agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("cells")).join(F.broadcast(box)).select(F.lit("empty").alias("state"), (F.col("all") - F.col("cells")).alias("cells"))
+    return seen.unionByName(rest.where("cells > 0"))

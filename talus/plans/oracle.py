@@ -228,6 +228,16 @@ ORACLE_SQL = {
         [*MEAN, *_SPARSE, "g AS (SELECT r, c, greatest(abs(dr), abs(dc)) AS ring, count(*) AS n, sum(1.0::DOUBLE / (dr * dr + dc * dc)) AS w, sum(z / (dr * dr + dc * dc)) AS s FROM near GROUP BY 1, 2, 3)", "t AS (SELECT *, sum(n) OVER (PARTITION BY r, c ORDER BY ring) AS upto FROM g)", "l AS (SELECT r, c, coalesce(min(ring) FILTER (WHERE upto >= 12), 4) + 1 AS last FROM t GROUP BY r, c)"],
         f"SELECT r AS \"row\", c AS col, round(sum(s) / sum(w), 6) AS z, CAST(sum(n) AS BIGINT) AS found FROM t JOIN l USING (r, c) WHERE ring <= last GROUP BY r, c",
     ),
+    "cell_status": _q(
+        [*MEAN, *_SPARSE, "w AS (SELECT n FROM dtm WHERE n >= 10)", "m AS (SELECT CASE WHEN 100 * least(n / 8.0::DOUBLE, 1) * n / (n + 3.0::DOUBLE) + 0.5 < 33 THEN 'low' ELSE 'measured' END AS state FROM w)", "t AS (SELECT r, c, min(greatest(abs(dr), abs(dc))) AS d FROM near GROUP BY r, c)", "h AS (SELECT CASE WHEN d < 3 THEN 'interpolated' WHEN d = 3 THEN 'edge' ELSE 'empty' END AS state FROM hole LEFT JOIN t USING (r, c))"],
+        "SELECT state, count(*) AS cells FROM (SELECT state FROM m UNION ALL SELECT state FROM h) GROUP BY state",
+    ),
+    "stations": _q([_MONTHS, "l AS (SELECT line, max(s) - min(s) AS length FROM m GROUP BY line)", "p AS (SELECT line, CAST(unnest(range(0, CAST(floor(length / 7) AS BIGINT) + 1)) * 7 AS DOUBLE) AS chainage FROM l UNION SELECT line, length FROM l)"], "SELECT line, chainage, printf('%d+%06.2f', CAST(floor(chainage / 1000) AS BIGINT), chainage - floor(chainage / 1000) * 1000) AS label FROM p"),
+    "footprints": _q(
+        [PTS, KEYED, "k AS (SELECT r, c, r * 4294967296 + c AS id FROM keyed GROUP BY r, c HAVING count(*) >= 12)", "adj AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1)", "reach AS (SELECT id AS a, id AS m FROM k UNION SELECT reach.a, adj.b FROM reach JOIN adj ON adj.a = reach.m)", "comp AS (SELECT a AS id, min(m) AS component FROM reach GROUP BY a)"],
+        "SELECT component, count(*) AS cells, count(*) * 100.0::DOUBLE AS area, round((avg(c) + 0.5) * 10, 6) AS cx, round((avg(r) + 0.5) * 10, 6) AS cy, min(c) * 10.0::DOUBLE AS west, (max(c) + 1) * 10.0::DOUBLE AS east, min(r) * 10.0::DOUBLE AS south, (max(r) + 1) * 10.0::DOUBLE AS north FROM comp JOIN k USING (id) GROUP BY component HAVING count(*) * 100 >= 150",
+        True,
+    ),
     "steepness": _q(MEAN, "SELECT a.r AS \"row\", a.c AS col, round(coalesce(max(abs(a.z - b.z)), 0) / 10, 6) AS slope FROM dtm a LEFT JOIN dtm b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY 1, 2"),
     "holdout": _q([PTS, KEYED, _dtm("avg(z)", "tr", "WHERE point_id % 5 <> 0"), "e AS (SELECT k.z - tr.z AS e FROM keyed k LEFT JOIN tr USING (r, c) WHERE point_id % 5 = 0)"], "SELECT count(*) AS n, count(e) AS covered, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(e), 6) AS bias FROM e"),
     "interval_gate": _q([*MEAN, "s AS (SELECT min(z) AS lo, max(z) AS hi FROM dtm)", "i AS (SELECT CAST(unnest([0.5, 1, 2, 5, 10]) AS DOUBLE) AS interval)", "l AS (SELECT interval, CAST(greatest(floor(hi / interval) - ceil(lo / interval) + 1, 0) AS BIGINT) AS levels FROM i, s)", "g AS (SELECT *, interval >= 0.8 AND levels >= 1 AS supported FROM l)"], "SELECT interval, levels, supported, coalesce(interval = (SELECT min(interval) FROM g WHERE supported AND levels BETWEEN 4 AND 40), FALSE) AS recommended FROM g"),
