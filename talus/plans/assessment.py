@@ -11,6 +11,7 @@ from ..operators import layers as L
 from ..operators import points as P
 from ..operators import validate as C
 from ..sources import points as src
+from ..sources import sinks as K
 from .oracle import _EPOCHS, _DIFF, _NODES, _TRACK, KEYED, MEAN, PTS, _q
 from .queries import SIZE, _dtm, _epochs, _nodes, _round, _track, pts
 
@@ -32,6 +33,11 @@ def _rings(s, d):
     return _track(s, d).groupBy("line").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x", "y", "z"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"))).alias("ring"))
 
 
+def _lines(s, d):
+    v = _track(s, d).groupBy(F.col("line").alias("level")).agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("v"))
+    return v.select("level", F.lit(False).alias("closed"), F.col("v.x").alias("xs"), F.col("v.y").alias("ys"))
+
+
 _RING = [_TRACK, "v AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY line) AS n FROM t)", "e AS (SELECT a.line, a.k, a.n, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM v a JOIN v b ON b.line = a.line AND b.k = (a.k + 1) % a.n)"]
 
 
@@ -184,6 +190,13 @@ _PAIR = {
         _q([PTS, KEYED, "k AS (SELECT r, c, z, bx, by_, ((bx * 31 + by_ * 17) % 5 + 5) % 5 AS f FROM (SELECT *, CAST(floor(x / 50) AS BIGINT) AS bx, CAST(floor(y / 50) AS BIGINT) AS by_ FROM keyed))", "u AS (SELECT r, c, f, sum(z) AS s, count(*) AS n FROM k GROUP BY ALL)", "q AS (SELECT DISTINCT r, c, f FROM k)", "p AS (SELECT q.r, q.c, q.f, sum(u.s) / sum(u.n) AS p FROM q JOIN u ON abs(u.r - q.r) <= 1 AND abs(u.c - q.c) <= 1 AND u.f <> q.f GROUP BY ALL)", "e AS (SELECT k.*, z - p AS e FROM k LEFT JOIN p USING (r, c, f))", "b AS (SELECT bx, by_, avg(e) AS b FROM e GROUP BY 1, 2)"],
             "SELECT count(*) AS n, count(*) FILTER (e IS NULL) AS uncovered, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(avg(e), 6) AS bias, (SELECT round(stddev_samp(b), 6) FROM b) AS block_sd, (SELECT count(*) FROM b) AS blocks FROM e")),
 }
+_PAIR |= {
+    "lines_geojson": (lambda s, d: K.geojson_lines(_lines(s, d)), _q([_TRACK], """SELECT line AS level, '{"type":"Feature","properties":{"level":' || printf('%.3f', CAST(line AS DOUBLE)) || ',"closed":false},"geometry":{"type":"LineString","coordinates":[' || string_agg(printf('[%.3f,%.3f]', x, y), ',' ORDER BY i) || ']}}' AS value FROM t GROUP BY line""")),
+    "lines_dxf": (lambda s, d: K.dxf_lines(_lines(s, d)), _q([_TRACK], "SELECT line AS level, '0' || chr(10) || 'LWPOLYLINE' || chr(10) || '8' || chr(10) || 'CONTOURS' || chr(10) || '38' || chr(10) || printf('%.3f', CAST(line AS DOUBLE)) || chr(10) || '90' || chr(10) || count(*) || chr(10) || '70' || chr(10) || '0' || chr(10) || string_agg('10' || chr(10) || printf('%.3f', x) || chr(10) || '20' || chr(10) || printf('%.3f', y), chr(10) ORDER BY i) AS value FROM t GROUP BY line")),
+    "lines_svg": (lambda s, d: K.svg_lines(_lines(s, d), 100.0), _q([_TRACK], """SELECT line AS level, '<path d="M' || string_agg(printf('%.2f %.2f', x, 100 - y), ' L' ORDER BY i) || '"/>' AS value FROM t GROUP BY line""")),
+    "lines_kml": (lambda s, d: K.kml_lines(_lines(s, d)), _q([_TRACK], "SELECT line AS level, '<Placemark><name>' || printf('%.2f', CAST(line AS DOUBLE)) || '</name><LineString><coordinates>' || string_agg(printf('%.7f,%.7f', x, y), ' ' ORDER BY i) || '</coordinates></LineString></Placemark>' AS value FROM t GROUP BY line")),
+    "points_csv": (lambda s, d: K.csv_lines(pts(s, d).select("point_id", "x", "class", "intensity", F.concat(F.lit('a"'), F.col("class").cast("string"), F.lit(",b")).alias("note")), ["point_id", "x", "class", "intensity", "note"]), _q([PTS], """SELECT concat(point_id, ',', printf('%.3f', x), ',', class, ',', coalesce(CAST(intensity AS VARCHAR), ''), ',"a""', class, ',b"') AS value FROM pts""")),
+}
 
 QUERIES = {k: q for k, (q, _) in _PAIR.items()}
 ORACLE_SQL = {k: sql for k, (_, sql) in _PAIR.items() if sql}

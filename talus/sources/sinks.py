@@ -33,3 +33,55 @@ def geojson_points(pts: DataFrame, order: str = "point_id") -> DataFrame:
     geometry = F.struct(F.lit("Point").alias("type"), F.array("x", "y", "z").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(F.col(order).alias("id")).alias("properties"))
     return pts.select(F.col(order).alias("ord"), F.to_json(feature).alias("value"))
+
+
+def _pairs(text: str, joined: str, closed: bool = False):
+    """The vertices of xs and ys in turn, each by the format; of a closed line without its repeated end if `closed`."""
+    at = F.transform(F.arrays_zip("xs", "ys"), lambda v: F.format_string(text, v["xs"], v["ys"]))
+    if closed:
+        at = F.when(F.col("closed"), F.slice(at, 1, F.size(at) - 1)).otherwise(at)
+    return F.concat_ws(joined, at)
+
+
+def geojson_lines(lines: DataFrame, decimals: int = 3) -> DataFrame:
+    """level, value: a GeoJSON LineString feature for each line(level, closed, xs, ys); coordinates in the given frame."""
+    at = _pairs(f"[%.{decimals}f,%.{decimals}f]", ",")
+    head = F.format_string('{"type":"Feature","properties":{"level":%.3f,"closed":%b},"geometry":{"type":"LineString","coordinates":[', F.col("level").cast("double"), F.col("closed"))
+    return lines.select("level", F.concat(head, at, F.lit("]}}")).alias("value"))
+
+
+def dxf_lines(lines: DataFrame, layer: str = "CONTOURS", decimals: int = 3) -> DataFrame:
+    """level, value: a LWPOLYLINE entity for each line, group codes and values on lines of their own."""
+    n = F.when(F.col("closed"), F.size("xs") - 1).otherwise(F.size("xs"))
+    head = F.format_string(f"0\nLWPOLYLINE\n8\n{layer}\n38\n%.{decimals}f\n90\n%d\n70\n%d\n", F.col("level").cast("double"), n, F.col("closed").cast("int"))
+    return lines.select("level", F.concat(head, _pairs(f"10\n%.{decimals}f\n20\n%.{decimals}f", "\n", True)).alias("value"))
+
+
+def dxf_document(entities: list[str]) -> str:
+    return "0\nSECTION\n2\nENTITIES\n" + "".join(e + "\n" for e in entities) + "0\nENDSEC\n0\nEOF\n"
+
+
+def svg_lines(lines: DataFrame, north: float, decimals: int = 2) -> DataFrame:
+    """level, value: a path for each line; y runs downwards from `north`."""
+    down = lines.withColumn("ys", F.transform("ys", lambda y: F.lit(north) - y))
+    path = F.concat(F.lit('<path d="M'), _pairs(f"%.{decimals}f %.{decimals}f", " L", True), F.when(F.col("closed"), "Z").otherwise(""), F.lit('"/>'))
+    return down.select("level", path.alias("value"))
+
+
+def kml_lines(lines: DataFrame, decimals: int = 7) -> DataFrame:
+    """level, value: a Placemark for each line of longitudes and latitudes."""
+    at = _pairs(f"%.{decimals}f,%.{decimals}f", " ")
+    return lines.select("level", F.concat(F.format_string("<Placemark><name>%.2f</name><LineString><coordinates>", F.col("level").cast("double")), at, F.lit("</coordinates></LineString></Placemark>")).alias("value"))
+
+
+def csv_lines(df: DataFrame, cols: list[str], decimals: int = 3) -> DataFrame:
+    """value: comma-separated cells in the order of cols; numbers with fixed decimals, text quoted where it must be, nulls empty."""
+    kinds = dict(df.dtypes)
+
+    def cell(c: str):
+        if kinds[c] in ("double", "float"):
+            return F.coalesce(F.when(~F.isnan(c), F.format_string(f"%.{decimals}f", c)), F.lit(""))
+        t = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+
+    return df.select(F.concat_ws(",", *[cell(c) for c in cols]).alias("value"))

@@ -51,3 +51,13 @@ def test_order_statistics_and_running_sums(spark):
     assert order_statistics(df.limit(0), {"m": ("v", 0.5)}).collect() == []
     total = {r.v: r.total for r in running(df, [F.col("v")], "v").collect()}
     assert total == {float(i): i * (i + 1) / 2 for i in range(1000)}
+
+
+def test_closed_lines_are_written_once_round(spark):
+    from talus.sources import sinks as K
+
+    line = spark.createDataFrame([(5.0, True, [0.0, 1.0, 1.0, 0.0], [0.0, 0.0, 1.0, 0.0])], "level double, closed boolean, xs array<double>, ys array<double>")
+    dxf = K.dxf_document([r.value for r in K.dxf_lines(line).collect()]).split("\n")
+    assert dxf[dxf.index("90") + 1] == "3" and dxf[dxf.index("70") + 1] == "1" and dxf.count("10") == 3 and dxf[-2] == "EOF"
+    assert K.svg_lines(line, 1.0).first().value == '<path d="M0.00 1.00 L1.00 1.00 L1.00 0.00Z"/>'
+    assert K.geojson_lines(line).first().value.endswith('"closed":true},"geometry":{"type":"LineString","coordinates":[[0.000,0.000],[1.000,0.000],[1.000,1.000],[0.000,0.000]]}}')
