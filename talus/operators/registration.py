@@ -114,21 +114,47 @@ def eigenvalues(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz:
     return [high, 3 * q - high - low, low]
 
 
+def normal_z(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column, least: Column) -> Column:
+    """Size of the third component of the unit eigenvector to the least eigenvalue; 1 where all directions are equal.
+
+    The vector is the longest cross product of two rows of the matrix less the eigenvalue.
+    """
+    rows = [(xx - least, xy, xz), (xy, yy - least, yz), (xz, yz, zz - least)]
+    cross = [(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]) for a, b in ((rows[0], rows[1]), (rows[0], rows[2]), (rows[1], rows[2]))]
+    best = F.array_max(F.array(*[F.struct((v[0] ** 2 + v[1] ** 2 + v[2] ** 2).alias("q"), F.abs(v[2]).alias("z")) for v in cross]))
+    return F.when(best["q"] > 0, F.least(best["z"] / F.sqrt(best["q"]), F.lit(1.0))).otherwise(F.lit(1.0))
+
+
 def descriptors(pts: DataFrame, radius: float) -> DataFrame:
-    """point_id, n, linearity, planarity, sphericity, variation of each point's neighbourhood; null below three points."""
+    """point_id, n, linearity, planarity, sphericity, variation, anisotropy, omnivariance, eigenentropy, verticality.
+
+    From the covariance of each point's neighbourhood; absent below three points, null where all lie in one place.
+    """
     at = pts.select(F.col("point_id").alias("q_id"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
     near = radius_pairs(pts, pts, radius).join(at, F.col("b_id") == F.col("q_id"))
     cov = lambda a, b: F.avg(F.col(f"q{a}") * F.col(f"q{b}")) - F.avg(f"q{a}") * F.avg(f"q{b}")
     m = near.groupBy("a_id").agg(F.count("*").alias("n"), *[cov(a, b).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]).where("n >= 3")
-    e = m.select("a_id", "n", *[v.alias(f"e{i}") for i, v in enumerate(eigenvalues(*[F.col(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")]))])
+    six = [F.col(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")]
+    e = m.select("*", *[F.greatest(v, F.lit(0.0)).alias(f"e{i}") for i, v in enumerate(eigenvalues(*six))])
+    total = F.col("e0") + F.col("e1") + F.col("e2")
     some = F.col("e0") > 0
+    share = [F.col(f"e{i}") / total for i in range(3)]
+    entropy = sum((F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in share), F.lit(0.0))
     e = e.select(
         F.col("a_id").alias("point_id"), "n", F.when(some, (F.col("e0") - F.col("e1")) / F.col("e0")).alias("linearity"), F.when(some, (F.col("e1") - F.col("e2")) / F.col("e0")).alias("planarity"),
-        F.when(some, F.col("e2") / F.col("e0")).alias("sphericity"), F.when(some, F.col("e2") / (F.col("e0") + F.col("e1") + F.col("e2"))).alias("variation"),
+        F.when(some, F.col("e2") / F.col("e0")).alias("sphericity"), F.when(some, F.col("e2") / total).alias("variation"), F.when(some, (F.col("e0") - F.col("e2")) / F.col("e0")).alias("anisotropy"),
+        F.when(some, F.cbrt(share[0] * share[1] * share[2])).alias("omnivariance"), F.when(some, entropy).alias("eigenentropy"), F.when(some, 1 - normal_z(*six, F.col("e2"))).alias("verticality"),
     )
     return e
 
 
+def structure(d: DataFrame, planar: float = 0.5, high: float = 0.7, low: float = 0.3, scatter: float = 0.25) -> DataFrame:
+    """Descriptors with structure: planar-vertical, planar-horizontal, scatter or ambiguous; null without descriptors."""
+    flat = F.when(F.col("verticality") >= high, "planar-vertical").when(F.col("verticality") <= low, "planar-horizontal").otherwise("ambiguous")
+    kind = F.when(F.col("planarity") >= planar, flat).when(F.col("sphericity") >= scatter, "scatter").otherwise("ambiguous")
+    return d.withColumn("structure", F.when(F.col("planarity").isNotNull(), kind))
+
+
 def conductor(pts: DataFrame, min_linearity: float = 0.9) -> dict:
     """Span, sag and residual of a hanging wire: a parabola over the main horizontal direction; refuses what is no line."""
     r = pts.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.avg(F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]).first()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as E
-from ..shared import order_statistics
+from ..shared import order_statistics, running
 
 
 def confusion(pairs: DataFrame) -> DataFrame:
@@ -126,3 +126,29 @@ def block_holdout(pts: DataFrame, size: float, block: float, folds: int = 5) ->
     spread = e.groupBy("bx", "by").agg(F.avg("e").alias("b")).agg(F.stddev_samp("b").alias("block_sd"), F.count("*").alias("blocks"))
     total = e.agg(F.count("*").alias("n"), F.count_if(F.col("p").isNull()).alias("uncovered"), F.sqrt(F.avg(F.col("e") ** 2)).alias("rmse"), F.avg(F.abs("e")).alias("mae"), F.avg("e").alias("bias"))
     return total.join(F.broadcast(spread))
+
+
+def block_bootstrap(samples: DataFrame, iterations: int = 1000, confidence: float = 0.9, seed: int = 1) -> DataFrame:
+    """samples(block, value): status, n, blocks, estimate, lower, upper, error of the mean, whole blocks drawn with replacement.
+
+    As many blocks are drawn as there are, by hashes of seed, iteration and draw.  Fewer than 200 iterations raise; no
+    samples, values that are not finite and fewer than two blocks give a status and no interval.  Blocks meet as sums, so
+    an iteration costs a row for each block, however many samples there are.
+    """
+    if iterations < 200 or not 0 < confidence < 1:
+        raise ValueError("200 iterations or more and a confidence between 0 and 1 are needed")
+    v = F.col("value").cast("double")
+    odd = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    sums = samples.groupBy("block").agg(F.sum(v).alias("s"), F.count("*").alias("n"), F.count_if(odd).alias("odd"))
+    blocks = running(sums.withColumn("one", F.lit(1)), [F.col("block").asc_nulls_first()], "one").select(F.col("before").cast("long").alias("place"), "s", "n", "odd")
+    whole = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("blocks"), F.coalesce(F.sum("odd"), F.lit(0)).alias("odd"), (F.sum("s") / F.sum("n")).alias("estimate"))
+    rounds = samples.sparkSession.range(iterations).withColumnRenamed("id", "i").join(F.broadcast(whole.select(F.col("blocks").alias("k"))))
+    draws = rounds.where("k > 0").select("i", "k", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "i", "j").cast("binary")), 1, 12), 16, 10).cast("long")
+    drawn = draws.select("i", F.pmod(hashed, F.col("k")).alias("place")).groupBy("i", "place").agg(F.count("*").alias("times"))
+    means = drawn.join(blocks, "place").groupBy("i").agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("m"))
+    tail = (1 - confidence) / 2
+    spread = means.agg(F.percentile("m", tail).alias("lower"), F.percentile("m", 1 - tail).alias("upper"), F.stddev_samp("m").alias("error"))
+    status = F.when(F.col("n") == 0, "no-samples").when(F.col("odd") > 0, "non-finite-value").when(F.col("blocks") < 2, "too-few-blocks").otherwise("estimated")
+    out = whole.withColumn("status", status).join(F.broadcast(spread), how="left")
+    return out.select("status", "n", "blocks", *[F.when(F.col("status") == "estimated", F.col(c)).alias(c) for c in ("estimate", "lower", "upper", "error")])

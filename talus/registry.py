@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import assessment, oracle, queries
+from .plans import assessment, oracle, queries, surfaces
 
-QUERIES = queries.QUERIES | assessment.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | assessment.ORACLE_SQL
+QUERIES = queries.QUERIES | assessment.QUERIES | surfaces.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | assessment.ORACLE_SQL | surfaces.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

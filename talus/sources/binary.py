@@ -1,4 +1,4 @@
-"""Binary scan formats: LAS (uncompressed), PLY and PCD, read as files through Spark and decoded column-wise."""
+"""Binary scan formats: LAS (uncompressed), PLY, PCD and PTX, read as files through Spark and decoded column-wise."""
 
 from __future__ import annotations
 
@@ -97,6 +97,73 @@ def decode_ply(data: bytes) -> dict[str, np.ndarray | None]:
     return {"x": get("x"), "y": get("y"), "z": get("z"), "intensity": get("intensity", "scalar_Intensity"), "class": get("classification", "class", "label"), "r": get("red", "r"), "g": get("green", "g"), "b": get("blue", "b")}
 
 
+def lzf_unpack(data: bytes, size: int) -> bytes:
+    """LZF: a control byte below 32 is followed by that many bytes and one; others name a length and a way back."""
+    out = bytearray()
+    i = 0
+    while i < len(data):
+        control = data[i]
+        i += 1
+        if control < 32:
+            out += data[i : i + control + 1]
+            i += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += data[i]
+            i += 1
+        start = len(out) - ((control & 31) << 8 | data[i]) - 1
+        i += 1
+        if start < 0:
+            raise ValueError("LZF data point before their start")
+        for k in range(length + 2):  # may overlap what it writes
+            out.append(out[start + k])
+    if len(out) != size:
+        raise ValueError(f"LZF data declare {size} bytes and hold {len(out)}")
+    return bytes(out)
+
+
+def decode_ptx(data: bytes) -> dict[str, np.ndarray | None]:
+    """All scans of a PTX file, each by its 4 x 4 matrix (rows from the left, shift in the last; unity if it is broken).
+
+    Points at 0 0 0 are no returns; lines of fewer than four numbers and a truncated end are skipped.  Intensities of 1
+    at most are shares of 65535.  source_id counts the scans.
+    """
+    lines = data.decode("utf-8", "replace").splitlines()
+    blocks, i, scan = [], 0, 0
+
+    def number(t: str) -> float:
+        try:
+            return float(t)
+        except ValueError:
+            return float("nan")
+
+    while i < len(lines):
+        if not lines[i].strip():
+            i += 1
+            continue
+        head = [number((lines[k].split() or [""])[0]) for k in (i, i + 1) if k < len(lines)]
+        if len(head) < 2 or i + 10 > len(lines) or not all(h >= 0 and h == int(h) for h in head):
+            break
+        total, scan = int(head[0]) * int(head[1]), scan + 1
+        rows = [[number(t) for t in line.split()[:4]] for line in lines[i + 6 : i + 10]]
+        m = np.array([r + [float("nan")] * (4 - len(r)) for r in rows])
+        m = m if np.isfinite(m).all() else np.eye(4)
+        body = [line.split() for line in lines[i + 10 : i + 10 + total]]
+        i += 10 + total
+        body = [[number(t) for t in (b + ["nan"] * 7)[:7]] for b in body if len(b) >= 4]
+        p = np.array(body).reshape(-1, 7)
+        p = p[np.isfinite(p[:, :3]).all(1) & (p[:, :3] != 0).any(1)]
+        blocks.append(np.column_stack([p[:, :3] @ m[:3, :3] + m[3, :3], p[:, 3:], np.full(len(p), scan)]))
+    t = np.concatenate(blocks) if blocks else np.empty((0, 8))
+    shade = np.nan_to_num(t[:, 3])
+    shade = np.clip(np.floor(shade * (65535 if len(shade) and 0 < shade.max() <= 1 else 1) + 0.5), 0, 65535)
+    out = {"x": t[:, 0], "y": t[:, 1], "z": t[:, 2], "intensity": shade, "source_id": t[:, 7]}
+    if len(t) and np.isfinite(t[0, 4:7]).all():
+        out |= {c: np.clip(np.floor(np.nan_to_num(t[:, 4 + k]) + 0.5), 0, 255) for k, c in enumerate("rgb")}
+    return out
+
+
 def decode_pcd(data: bytes) -> dict[str, np.ndarray | None]:
     head, at = {}, 0
     while "DATA" not in head:
@@ -116,6 +183,13 @@ def decode_pcd(data: bytes) -> dict[str, np.ndarray | None]:
     elif head["DATA"][0] == "binary":
         t = np.frombuffer(data, np.dtype([(f"{f}{i}", k, (c,)) for i, (f, k, c) in enumerate(zip(head["FIELDS"], kinds, counts, strict=True))]), n, at)
         cols = {f: t[f"{f}{i}"][:, 0] for i, f in enumerate(head["FIELDS"])}
+    elif head["DATA"][0] == "binary_compressed":  # all of the first field, then all of the second, and so on
+        packed, plain = struct.unpack_from("<II", data, at)
+        raw = lzf_unpack(data[at + 8 : at + 8 + packed], plain)
+        cols, place = {}, 0
+        for f, k, c in zip(head["FIELDS"], kinds, counts, strict=True):
+            cols[f] = np.frombuffer(raw, k, n * c, place).reshape(n, c)[:, 0]
+            place += n * c * np.dtype(k).itemsize
     else:
         raise ValueError(f"PCD data {head['DATA'][0]} is not supported")
     out = {c: cols.get(c) for c in "xyz"} | {"intensity": cols.get("intensity"), "class": cols.get("label")}
@@ -125,12 +199,12 @@ def decode_pcd(data: bytes) -> dict[str, np.ndarray | None]:
     return out
 
 
-DECODERS = {"las": decode_las, "ply": decode_ply, "pcd": decode_pcd}
+DECODERS = {"las": decode_las, "ply": decode_ply, "pcd": decode_pcd, "ptx": decode_ptx}
 CHUNK = 500_000
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """Points of all LAS, PLY and PCD files under a path: one task per file, rows without finite coordinates dropped.
+    """Points of all LAS, PLY, PCD and PTX files under a path: one task per file, rows without finite coordinates dropped.
 
     Colours above 255 are brought to bytes; what a format lacks is null.  point_id counts within its file.
     """
@@ -186,13 +260,54 @@ def encode_las(cols: dict[str, np.ndarray], scale: float = 0.001) -> bytes:
     return bytes(head) + raw.tobytes()
 
 
-def las_files(pts: DataFrame, per_file: int = 1_000_000) -> DataFrame:
-    """part, content: LAS files of at most per_file points each, made from consecutive ids."""
+def encode_las14(cols: dict[str, np.ndarray], scale: float = 0.001, wkt: str = "") -> bytes:
+    """A LAS 1.4 file of format 6 or 7 from arrays x, y, z and optionally intensity, class, gps_time, source_id and r, g, b.
+
+    The coordinate system goes as well-known text into a variable-length record.
+    """
+    n = len(cols["x"])
+    rgb = all(c in cols for c in "rgb")
+    width = 36 if rgb else 30
+    shift = [float(np.floor(cols[c].min())) if n else 0.0 for c in "xyz"]
+    raw = np.zeros((n, width), np.uint8)
+    put = lambda at, v, kind: raw.__setitem__((slice(None), slice(at, at + np.dtype(kind).itemsize)), np.ascontiguousarray(np.asarray(v).astype(kind))[:, None].view(np.uint8))
+    for i, c in enumerate("xyz"):
+        whole = np.floor((cols[c] - shift[i]) / scale + 0.5)
+        if n and np.abs(whole).max() > 2**31 - 1:
+            raise ValueError(f"{c} does not fit 32-bit records at scale {scale}")
+        put(4 * i, whole, "<i4")
+    none = np.zeros(n)
+    put(12, cols.get("intensity", none), "<u2")
+    raw[:, 14] = 1 | 1 << 4
+    put(16, cols.get("class", none), "u1")
+    put(20, cols.get("source_id", none), "<u2")
+    put(22, cols.get("gps_time", none), "<f8")
+    for i, c in enumerate("rgb" if rgb else ""):
+        put(30 + 2 * i, np.asarray(cols[c]) * 257, "<u2")
+    text = wkt.encode() + b"\0" if wkt else b""
+    if len(text) > 65535:
+        raise ValueError("the coordinate system does not fit a record")
+    record = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 2112, len(text), b"") + text if wkt else b""
+    head = bytearray(375)
+    head[:4] = b"LASF"
+    struct.pack_into("<H", head, 6, 16)
+    head[24:26] = bytes([1, 4])
+    head[58:65] = b"talus\0\0"
+    struct.pack_into("<HIIBH", head, 94, 375, 375 + len(record), 1 if wkt else 0, 7 if rgb else 6, width)
+    struct.pack_into("<6d", head, 131, *[scale] * 3, *shift)
+    box = [v for c in "xyz" for v in ((cols[c].max(), cols[c].min()) if n else (0.0, 0.0))]
+    struct.pack_into("<6d", head, 179, *box)
+    struct.pack_into("<QQ", head, 247, n, n)
+    return bytes(head) + record + raw.tobytes()
+
+
+def las_files(pts: DataFrame, per_file: int = 1_000_000, version: str = "1.2", wkt: str = "") -> DataFrame:
+    """part, content: LAS 1.2 or 1.4 files of at most per_file points each, made from consecutive ids."""
     from pyspark.sql import functions as F
 
     def run(t: pa.Table) -> pa.Table:
         cols = {c: t.column(c).to_numpy() for c in t.column_names if c != "part"}
-        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "content": pa.array([encode_las(cols)], pa.binary())})
+        return pa.table({"part": pa.array([t.column("part")[0].as_py()], pa.int64()), "content": pa.array([encode_las14(cols, wkt=wkt) if version == "1.4" else encode_las(cols)], pa.binary())})
 
     keep = [c for c in ("x", "y", "z", "intensity", "class", "r", "g", "b") if c in pts.columns]
     filled = pts.select(F.floor(F.col("point_id") / per_file).cast("long").alias("part"), *[F.coalesce(c, F.lit(0)).alias(c) if c not in "xyz" else F.col(c) for c in keep])

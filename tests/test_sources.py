@@ -68,7 +68,7 @@ def test_holes_are_filled_from_their_rings(spark):
     cells = spark.createDataFrame([(r, c, 5.0, 3) for r in range(7) for c in range(7) if (r, c) != (3, 3)], "row long, col long, z double, n long")
     assert [(r.row, r.col, r.z, r.found) for r in R.idw_fill(cells).collect()] == [(3, 3, pytest.approx(5.0), 48)]
     assert R.nearest_fill(cells, 2).count() == 49
-    assert R.holes(cells.limit(0)).count() == 0
+    assert R.idw_fill(cells.limit(0)).count() == 0
 
 
 def test_a_hill_has_closed_lines(spark):
