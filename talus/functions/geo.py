@@ -92,3 +92,18 @@ def nice_ticks(low: float, high: float, target: int = 5) -> list[float]:
     step = nice_step(low, high, target)
     first = math.ceil(low / step)
     return [round((first + i) * step, 12) for i in range(int(math.floor(high / step + 1e-9)) - first + 1)]
+
+
+def utm_inverse(zone: Column, east: Column, north: Column, south: Column) -> tuple[Column, Column]:
+    """latitude and longitude in degrees of UTM places on WGS 84, the inverse of `utm_forward`."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    big = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = (north - F.when(south, 10000000.0).otherwise(0.0)) / (0.9996 * big), (east - 500000.0) / (0.9996 * big)
+    x = xi - sum((c * F.sin(2 * (j + 1) * xi) * F.cosh(2 * (j + 1) * eta) for j, c in enumerate(beta)), F.lit(0.0))
+    y = eta - sum((c * F.cos(2 * (j + 1) * xi) * F.sinh(2 * (j + 1) * eta) for j, c in enumerate(beta)), F.lit(0.0))
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi + sum((c * F.sin(2 * (j + 1) * chi) for j, c in enumerate(delta)), F.lit(0.0))
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(y), F.cos(x))) + zone * 6 - 183

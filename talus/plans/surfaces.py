@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import geo
 from ..operators import grid as G
+from ..operators import picks as Q
 from ..operators import registration as T
 from ..operators import surface as U
 from ..operators import validate as C
 from ..sources import points as src
 from ..sources import rasters as K
+from ..sources import sinks as W
 from ..streaming import pipeline as N
-from .oracle import _SPARSE, KEYED, MEAN, ORACLE_SQL, PTS, _dtm, _horn, _q
-from .queries import SIZE, _horn as _slopes, _round, _dtm as _cells, _sparse, pts
+from .oracle import _DIFF, _EPOCHS, _SPARSE, _UTM, KEYED, MEAN, ORACLE_SQL, PTS, _dtm, _horn, _q
+from .queries import SIZE, _horn as _slopes, _round, _dtm as _cells, _epochs, _places, _sparse, pts
 
 PLANES = [(1.0, 0.0, 0.0, -100.0), (-1.0, 0.5, 0.0, 300.0), (0.0, -1.0, 0.25, 400.0), (0.0, 0.0, 1.0, -8.0)]
 
@@ -83,6 +86,61 @@ def _structured(s, d):
     return T.structure(T.descriptors(src.vector_points(s, d), 0.15))
 
 
+def _polylines(s, d):
+    """Prices by month as lines: one for each order priority, another of the same line turned by each status."""
+    o = src.table(s, d, "orders")
+    month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 23900
+    return o.groupBy(F.col("o_orderpriority").alias("line"), month.cast("long").alias("i")).agg(F.avg("o_totalprice").alias("p")).select("line", "i", F.col("i").cast("double").alias("x"), F.round(F.col("p") / 10000, 3).alias("y"), (F.col("i") % 5).cast("double").alias("z"))
+
+
+def _asked(s, d):
+    return src.table(s, d, "customer").select(F.col("c_custkey").alias("point_id"), (F.col("c_custkey") % 83).cast("double").alias("x"), (F.col("c_acctbal") / 500).alias("y"), F.lit(2.0).alias("z"))
+
+
+def _marks(s, d):
+    return src.table(s, d, "supplier").select((F.col("s_suppkey") % 83 + 0.25).alias("x"), (F.col("s_acctbal") / 500).alias("y"), F.lit(2.0).alias("z"))
+
+
+def _bare(s, d):
+    z, e, n = geo.utm_forward(F.col("lat"), F.col("lon"))
+    p = _places(s, d).where("lat BETWEEN -80 AND 84").select("point_id", "lat", "lon", z.alias("zone"), e.alias("east"), n.alias("north"))
+    lat, lon = geo.utm_inverse(F.col("zone"), F.col("east"), F.col("north"), F.col("lat") < 0)
+    return p.select("point_id", lat.alias("lat"), lon.alias("lon"))
+
+
+_LINES = [
+    "v AS (SELECT o_orderpriority AS line, year(o_orderdate) * 12 + month(o_orderdate) - 23900 AS i, round(avg(o_totalprice) / 10000, 3) AS y FROM orders GROUP BY 1, 2)",
+    "w AS (SELECT line, i, CAST(i AS DOUBLE) AS x, y, CAST(i % 5 AS DOUBLE) AS z FROM v)",
+    "s AS (SELECT *, lead(i) OVER p AS i2, lead(x) OVER p AS x2, lead(y) OVER p AS y2, lead(z) OVER p AS z2 FROM w WINDOW p AS (PARTITION BY line ORDER BY i))",
+    "det AS (SELECT a.line AS l1, a.i AS i1, b.line AS l2, b.i AS j1, a.x AS ax, a.y AS ay, a.z AS az, b.z AS bz, a.x2 - a.x AS r0, a.y2 - a.y AS r1, a.z2 - a.z AS r2, b.x2 - b.x AS s0, b.y2 - b.y AS s1, b.z2 - b.z AS s2, b.x - a.x AS dx, b.y - a.y AS dy FROM s a JOIN s b ON (a.line, a.i) < (b.line, b.i) AND a.x2 IS NOT NULL AND b.x2 IS NOT NULL AND a.x <= b.x2 AND b.x <= a.x2)",
+    "tu AS (SELECT *, (dx * s1 - dy * s0) / (r0 * s1 - r1 * s0) AS t, (dx * r1 - dy * r0) / (r0 * s1 - r1 * s0) AS u FROM det WHERE abs(r0 * s1 - r1 * s0) >= 1e-12)",
+    "x AS (SELECT l1, i1, l2, j1, ax + t * r0 AS x, ay + t * r1 AS y, (az + t * r2 + bz + u * s2) / 2 AS z FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)",
+]
+
+
+def _segments(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("line").orderBy("i")
+    v = _polylines(s, d)
+    v = v.select(F.struct("line", "i").alias("id"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *[F.lead(c).over(w).alias(f"{c}2") for c in "xyz"])
+    return v.where("x2 IS NOT NULL")
+
+
+def _crossed(s, d):
+    c = Q.crossings(_segments(s, d), 1.0)
+    return _round(c.select(F.col("a_id.line").alias("l1"), F.col("a_id.i").alias("i1"), F.col("b_id.line").alias("l2"), F.col("b_id.i").alias("j1"), "x", "y", "z"), 5)
+
+
+def _work(s, d):
+    e = src.table(s, d, "nation")
+    return e.select("n_nationkey", F.when(F.col("n_nationkey") % 6 > 0, F.col("n_nationkey") % 6).alias("points"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(1)).alias("span"))
+
+
+def _layers(s, d):
+    return src.table(s, d, "supplier").select(F.col("s_suppkey").alias("layer"), F.when(F.col("s_suppkey") < 4, F.col("s_suppkey")).otherwise(5).alias("points"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(1)).alias("span"))
+
+
 _PLANE = " AND ".join(f"{' + '.join(f'{w}::DOUBLE * ({n} + {10 if w >= 0 else 0})' for n, w in zip('xyz', p))} + {p[3]}::DOUBLE >= 0" for p in PLANES)
 _STEPS = ", ".join(f"{x}::DOUBLE" for x in U.CELL_SIZES)
 _LADDER = ", ".join(f"{x}::DOUBLE" for x in U.INTERVALS)
@@ -135,6 +193,38 @@ ALL = {
         _q(["c AS (SELECT o_orderkey, o_custkey * 100000 AS n FROM orders)"], "SELECT o_orderkey, CASE WHEN n <= 4000000 THEN 'all' WHEN n <= 12000000 THEN 'voxel' ELSE 'stride' END AS mode, CASE WHEN n <= 12000000 THEN 1 ELSE (n + 11999999) // 12000000 END AS stride, least(n, 4000000) AS target FROM c")),
     "clamped_range": (lambda s, d: N.clamped_range(src.table(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 50 - 2).alias("offset"), (F.col("o_custkey") % 30 - 1).alias("length"), F.lit(40).alias("size"))).select("o_orderkey", "bytes"),
         "SELECT o_orderkey, CASE WHEN o_orderkey % 50 >= 2 AND o_custkey % 30 >= 1 AND o_orderkey % 50 - 2 <= 40 THEN least(o_custkey % 30 - 1, 42 - o_orderkey % 50) END AS bytes FROM orders"),
+    # picks, snaps, owners, reports
+    "pick": (lambda s, d: _round(Q.pick(pts(s, d), (-50.0, -20.0, 10.0), (1.0, 2.0, 0.1), "class")),
+        _q([PTS, "v AS (SELECT point_id, class, x + 50 AS a, y + 20 AS b, z - 10 AS c, ((x + 50) + (y + 20) * 2 + (z - 10) * 0.1::DOUBLE) / sqrt(5.01::DOUBLE) AS along FROM pts)", "h AS (SELECT *, sqrt(greatest(a * a + b * b + c * c - along * along, 0)) / along AS score FROM v WHERE along > 0)"],
+            "SELECT point_id, round(score, 6) AS score, class < (SELECT max(class) FROM pts) AS refining FROM h WHERE score < 0.07 ORDER BY score, point_id LIMIT 1")),
+    "crossings": (_crossed, _q(_LINES, "SELECT l1, i1, l2, j1, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM x")),
+    "snaps": (lambda s, d: _round(Q.snapped(_asked(s, d), _marks(s, d), _polylines(s, d), 1.5).select("point_id", "kind", "distance"), 5),
+        _q([*_LINES, "q AS (SELECT c_custkey AS id, CAST(c_custkey % 83 AS DOUBLE) AS x, c_acctbal / 500.0::DOUBLE AS y, 2.0::DOUBLE AS z FROM customer)",
+            "c AS (SELECT 0 AS k, s_suppkey % 83 + 0.25::DOUBLE AS x, s_acctbal / 500.0::DOUBLE AS y, 2.0::DOUBLE AS z FROM supplier UNION ALL SELECT 1, x, y, z FROM w UNION ALL SELECT 2, (x + x2) / 2, (y + y2) / 2, (z + z2) / 2 FROM s WHERE x2 IS NOT NULL UNION ALL SELECT 3, x, y, z FROM x)",
+            "d AS (SELECT id, k, min(sqrt((q.x - c.x) ** 2 + (q.y - c.y) ** 2 + (q.z - c.z) ** 2)) AS d FROM q JOIN c ON c.x BETWEEN q.x - 1.5 AND q.x + 1.5 AND c.y BETWEEN q.y - 1.5 AND q.y + 1.5 GROUP BY id, k)"],
+            "SELECT id AS point_id, ['point', 'endpoint', 'midpoint', 'intersection'][CAST(arg_min(k, [d + k * 1e-6, k]) AS INTEGER) + 1] AS kind, round(arg_min(d, [d + k * 1e-6, k]), 5) AS distance FROM d WHERE d <= 1.5 GROUP BY id")),
+    "owners": (lambda s, d: Q.owners(_work(s, d), _layers(s, d), ["points", "span"]).select("n_nationkey", "layer", "reason"),
+        _q(["w AS (SELECT n_nationkey, nullif(n_nationkey % 6, 0) AS p, CASE WHEN n_nationkey % 2 = 0 THEN 1 END AS q FROM nation)", "l AS (SELECT CASE WHEN s_suppkey < 4 THEN s_suppkey ELSE 5 END AS p, CASE WHEN s_suppkey % 2 = 0 THEN 1 END AS q, s_suppkey AS layer FROM supplier)", "j AS (SELECT n_nationkey, w.p, w.q, count(layer) AS n, min(layer) AS layer FROM w LEFT JOIN l ON l.p IS NOT DISTINCT FROM w.p AND l.q IS NOT DISTINCT FROM w.q GROUP BY ALL)"],
+            "SELECT n_nationkey, CASE WHEN n = 1 AND (p IS NOT NULL OR q IS NOT NULL) THEN layer END AS layer, CASE WHEN p IS NULL AND q IS NULL THEN 'filename-only' WHEN n = 0 THEN 'no-match' WHEN n > 1 THEN 'ambiguous' END AS reason FROM j")),
+    "page_places": (lambda s, d: _round(Q.page_places(pts(s, d), (20.0, 5.0, 120.0, 45.0), (36.0, 48.0), 2.5, "y").select("point_id", "page_x", "page_y", "inside")),
+        _q([PTS], "SELECT point_id, round(36 + (x - 20) * 2.5, 6) AS page_x, round(48 + (-z - 5) * 2.5, 6) AS page_y, x BETWEEN 20 AND 120 AND -z BETWEEN 5 AND 45 AS inside FROM pts")),
+    "lasso_volume": (lambda s, d: _round(Q.lasso_volume(pts(s, d).where("class = 6")), 2), None),
+    "scan_report": (lambda s, d: _round(Q.scan_report(pts(s, d), [2, 6], 0.3048), 5),
+        _q([PTS, "r AS (SELECT count(*) AS n, (max(x) - min(x)) * 0.3048::DOUBLE AS w, (max(y) - min(y)) * 0.3048::DOUBLE AS d, (max(z) - min(z)) * 0.3048::DOUBLE AS h FROM pts WHERE class IN (2, 6))"],
+            "SELECT n, round(w, 5) AS width, round(d, 5) AS depth, round(h, 5) AS height, round(w * d, 5) AS footprint, round(n / (w * d), 5) AS density, round(sqrt(w * d / n), 5) AS spacing FROM r")),
+    "probes": (lambda s, d: _round(Q.probed(_cells(s, d), src.table(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 700).cast("double").alias("x"), (F.col("c_custkey") % 611).cast("double").alias("y")), SIZE).select("id", "z", "n")),
+        _q([*MEAN, "a AS (SELECT c_custkey AS id, CAST(floor((c_custkey % 700) / 10.0::DOUBLE) AS BIGINT) AS c, CAST(floor((c_custkey % 611) / 10.0::DOUBLE) AS BIGINT) AS r FROM customer)"], "SELECT id, round(z, 6) AS z, n FROM a LEFT JOIN dtm USING (r, c)")),
+    "epoch_comparison": (lambda s, d: _round(Q.epoch_comparison(*_epochs(s, d), SIZE, 1.0, {"shift": (6.0, 0.0), "crs": ("A", "B"), "unit": 1.0}), 4),
+        _q([*_EPOCHS, _DIFF], "SELECT count(*) AS cells, round(sum(CASE WHEN diff > 1 THEN diff * 100 ELSE 0 END), 4) AS gain, round(sum(CASE WHEN diff < -1 THEN -diff * 100 ELSE 0 END), 4) AS loss, round(sum(CASE WHEN abs(diff) > 1 THEN diff * 100 ELSE 0 END), 4) AS net, round(avg(abs(diff)), 4) AS mean_abs, round(min(diff), 4) AS lowest, round(max(diff), 4) AS highest, 'offset,crs-differs,datum-unknown' AS notes, FALSE AS coregistered FROM diff")),
+    "trusted_ground": (lambda s, d: Q.trusted_ground(src.table(s, d, "events").select("event_id", F.col("value").alias("x"), F.lit(0.0).alias("y"), F.col("user_id").cast("double").alias("z"), (F.col("event_id") % 3).alias("class")), [1, 2]).select("event_id", "is_ground"),
+        "SELECT event_id, value IS NOT NULL AND isfinite(value) AND user_id IS NOT NULL AND event_id % 3 IN (1, 2) AS is_ground FROM events"),
+    "cells_by": (lambda s, d: _round(Q.cells_by(pts(s, d), SIZE, {"spread": F.stddev_pop("z"), "classes": F.count_distinct("class"), "brightest": F.max("intensity")}), 5), _q([PTS, KEYED], 'SELECT r AS "row", c AS col, round(stddev_pop(z), 5) AS spread, count(DISTINCT class) AS classes, max(intensity) AS brightest FROM keyed GROUP BY r, c')),
+    "object_box": (lambda s, d: _round(Q.object_box(pts(s, d)), 2), None),
+    "utm_inverse": (lambda s, d: _round(_bare(s, d), 6), _q([PTS, *_UTM], "SELECT point_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM u")),
+    "late_guard": (lambda s, d: N.guarded(src.table(s, d, "events").select("event_id", F.col("value").alias("scale"), (F.col("event_id") % 2).cast("double").alias("shift"), F.col("user_id").cast("double").alias("origin"))).select("event_id"), "SELECT event_id FROM events WHERE value IS NOT NULL AND isfinite(value) AND value <> 0 AND user_id IS NOT NULL"),
+    "frame_times": (lambda s, d: _round(N.frame_times(pts(s, d), "class", "z")), _q([PTS], "SELECT class, count(*) AS n, round(avg(z), 6) AS mean, round(quantile_cont(z, 0.5), 6) AS median, round(quantile_cont(z, 0.95), 6) AS p95, round(max(z), 6) AS longest FROM pts GROUP BY class")),
+    "points_ply": (lambda s, d: W.ply_lines(pts(s, d).select("point_id", F.col("x"), F.col("class").cast("double").alias("y"), F.lit(0.5).alias("z"))),
+        _q([PTS], "SELECT point_id AS ord, printf('%.3f %.3f 0.500', x, CAST(class AS DOUBLE)) AS value FROM pts UNION ALL SELECT CAST(unnest(range(-7, 0)) AS BIGINT), unnest(['ply', 'format ascii 1.0', 'element vertex ' || (SELECT count(*) FROM pts), 'property double x', 'property double y', 'property double z', 'end_header'])")),
 }
 
 QUERIES = {k: q for k, (q, _) in ALL.items()}

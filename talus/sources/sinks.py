@@ -85,3 +85,16 @@ def csv_lines(df: DataFrame, cols: list[str], decimals: int = 3) -> DataFrame:
         return F.when(t.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
     return df.select(F.concat_ws(",", *[cell(c) for c in cols]).alias("value"))
+
+
+def ply_lines(pts: DataFrame, order: str = "point_id", decimals: int = 3) -> DataFrame:
+    """ord, value: header and one line for each point of an ASCII PLY file; colours r, g, b go along if there are any."""
+    colours = [c for c in ("r", "g", "b") if c in pts.columns]
+    colours = colours if len(colours) == 3 else []
+    n = F.concat(F.lit("element vertex "), F.count("*").cast("string"))
+    props = [f"property double {c}" for c in "xyz"] + [f"property uchar {c}" for c in ("red", "green", "blue")][: len(colours)]
+    head = pts.agg(F.array(F.lit("ply"), F.lit("format ascii 1.0"), n, *[F.lit(p) for p in props], F.lit("end_header")).alias("h"))
+    size = 4 + len(props)
+    header = head.select(F.posexplode("h").alias("i", "value")).select((F.col("i") - size).cast("long").alias("ord"), "value")
+    cols = [F.format_string(f"%.{decimals}f", c) for c in "xyz"] + [F.coalesce(F.col(c), F.lit(0)).cast("int").cast("string") for c in colours]
+    return header.unionByName(pts.select(F.col(order).cast("long").alias("ord"), F.concat_ws(" ", *cols).alias("value")))

@@ -106,3 +106,16 @@ def clamped_range(ranges: DataFrame) -> DataFrame:
     """ranges(offset, length, size, ...) with bytes: what of a range lies within its file; null for what is no range."""
     o, n, s = F.col("offset"), F.col("length"), F.col("size")
     return ranges.withColumn("bytes", F.when((o >= 0) & (n >= 0) & (o <= s), F.least(n, s - o)))
+
+
+def guarded(chunks: DataFrame) -> DataFrame:
+    """chunks(scale, shift, origin, ...) that may still be placed: all three finite and the scale not 0."""
+    good = F.col("scale") != 0
+    for c in ("scale", "shift", "origin"):
+        good = good & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return chunks.where(good)
+
+
+def frame_times(frames: DataFrame, by: str, ms: str) -> DataFrame:
+    """n, mean, median, p95 and longest of the times of each run."""
+    return frames.where(F.col(ms).isNotNull() & ~F.isnan(ms)).groupBy(by).agg(F.count("*").alias("n"), F.avg(ms).alias("mean"), F.percentile(ms, 0.5).alias("median"), F.percentile(ms, 0.95).alias("p95"), F.max(ms).alias("longest"))
