@@ -171,8 +171,7 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
         a: list[int] = []
         b: list[int] = []
         for t in grouped(batches, ["node", "block"]):
-            sig = (_bytes(t.column("sig"), VALUES, "<u4") & 0xFF).astype(np.uint8)
-            for x, y in stars(t.column("c").to_numpy(), sig):
+            for x, y in stars(t.column("c").to_numpy(), _bytes(t.column("low"), VALUES, np.uint8)):
                 a.append(x)
                 b.append(y)
             if len(a) > 50_000:
@@ -180,9 +179,19 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
                 a, b = [], []
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lowest byte of each value: all that a comparison in a bucket reads, so all that moves to it."""
+        for b in batches:
+            low = (_bytes(b.column("sig"), VALUES, "<u4") & 0xFF).astype(np.uint8)
+            yield b.drop_columns(["sig"]).append_column("low", pa.array([x.tobytes() for x in low], pa.binary()))
+
     def with_sig(rows: DataFrame) -> DataFrame:
         return rows.join(classes.select(F.col("c").alias("k"), "sig"), F.col("c") == F.col("k")).drop("k")
 
+    def with_low(rows: DataFrame) -> DataFrame:
+        lows = classes.select(F.col("c").alias("k"), "sig").mapInArrow(W.lean(low_bytes), "k long, low binary")
+        return rows.join(lows, F.col("c") == F.col("k")).drop("k")
+
     def sized(rows: DataFrame) -> DataFrame:
         many = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("c", F.xxhash64("c", "node")).alias("pivot")).where("size > 1")
         return written(rows.join(many.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).drop("at"), "nodes")
@@ -196,7 +205,7 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
     rows = sized(classes.select("c", "sig").mapInArrow(W.lean(split_roots), "node long, c long").distinct())
     edges = []
     for level in range(depth + 1):
-        small = with_sig(rows.where(F.col("size") <= leaf).select("node", "c")).withColumn("block", F.lit(0))
+        small = with_low(rows.where(F.col("size") <= leaf).select("node", "c")).withColumn("block", F.lit(0))
         edges.append(written(small.repartition(n, "node").sortWithinPartitions("node", "c").mapInArrow(W.lean(brute), "a long, b long").distinct(), "edges"))
         big = rows.where(F.col("size") > leaf)
         if big.isEmpty():
@@ -213,9 +222,10 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
             continue
         # The rest goes in pairs of blocks, so that no bucket is cut short whatever its size.
         blocks = todo.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("node", "at")
-        mine = todo.join(blocks, F.col("node") == F.col("at")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+        last = todo.select("node", "c", "sig").mapInArrow(W.lean(low_bytes), "node long, c long, low binary")
+        mine = last.join(blocks, F.col("node") == F.col("at")).withColumn("i", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
         mine = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.least("i", "j").cast("long") * F.lit(1 << 32) + F.greatest("i", "j"))
-        edges.append(mine.select("node", "block", "c", "sig").repartition(n, "node", "block").sortWithinPartitions("node", "block", "c").mapInArrow(W.lean(brute), "a long, b long").distinct())
+        edges.append(mine.select("node", "block", "c", "low").repartition(n, "node", "block").sortWithinPartitions("node", "block", "c").mapInArrow(W.lean(brute), "a long, b long").distinct())
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
