@@ -15,7 +15,7 @@ from ..sources import rasters as K
 from ..sources import sinks as W
 from ..streaming import pipeline as N
 from .oracle import _DIFF, _EPOCHS, _SPARSE, _UTM, KEYED, MEAN, ORACLE_SQL, PTS, _dtm, _horn, _q
-from .queries import SIZE, _horn as _slopes, _round, _dtm as _cells, _epochs, _places, _sparse, pts
+from .queries import SIZE, _horn as _slopes, _round, _rounded, _dtm as _cells, _epochs, _places, _sparse, pts
 
 PLANES = [(1.0, 0.0, 0.0, -100.0), (-1.0, 0.5, 0.0, 300.0), (0.0, -1.0, 0.25, 400.0), (0.0, 0.0, 1.0, -8.0)]
 
@@ -90,7 +90,7 @@ def _polylines(s, d):
     """Prices by month as lines: one for each order priority, another of the same line turned by each status."""
     o = src.table(s, d, "orders")
     month = F.year("o_orderdate") * 12 + F.month("o_orderdate") - 23900
-    return o.groupBy(F.col("o_orderpriority").alias("line"), month.cast("long").alias("i")).agg(F.avg("o_totalprice").alias("p")).select("line", "i", F.col("i").cast("double").alias("x"), F.round(F.col("p") / 10000, 3).alias("y"), (F.col("i") % 5).cast("double").alias("z"))
+    return o.groupBy(F.col("o_orderpriority").alias("line"), month.cast("long").alias("i")).agg(F.avg("o_totalprice").alias("p")).select("line", "i", F.col("i").cast("double").alias("x"), _rounded(F.col("p") / 10000, 3).alias("y"), (F.col("i") % 5).cast("double").alias("z"))
 
 
 def _asked(s, d):

@@ -39,3 +39,13 @@ def test_query_without_sql_runs(spark, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Products with 10^6 just under a half: the shortest decimal text of the first two ends in 5."""
+    from talus.plans.queries import _round
+
+    odd = [163.91405 / 16 * 100, -105.44859 / 80 * 100, 510.0546875, 0.5e-6, 1e305, math.inf, -math.inf, None]
+    got = [r.v for r in _round(spark.createDataFrame([(v,) for v in odd], "v double")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in odd]
+    assert got[0] == 1024.462812 and math.isnan(_round(spark.createDataFrame([(math.nan,)], "v double")).first().v)
