@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,17 +63,21 @@ def snapped(asked: DataFrame, pts: DataFrame, vertices: DataFrame, reach: float,
     """point_id, kind, x, y, z, distance: what lies nearest to asked(point_id, x, y, z) within reach.
 
     Kinds are point, endpoint and midpoint and intersection of vertices(line, i, x, y, z).  A point wins ties of 1e-6; of
-    the others the earlier kind.  Within a kind the least place wins.
+    the others the earlier kind.  Within a kind the least place wins.  An id has one row, or none if nothing is in reach.
     """
     w = Window.partitionBy("line").orderBy("i")
     seg = vertices.select("line", "i", *[F.col(c).alias(f"{c}1") for c in "xyz"], *[F.lead(c).over(w).alias(f"{c}2") for c in "xyz"]).where("x2 IS NOT NULL")
     seg = seg.withColumn("id", F.struct("line", "i"))
     kinds = [pts.select("x", "y", "z"), vertices.select("x", "y", "z"), seg.select(*[((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(c) for c in "xyz"]), crossings(seg.drop("line", "i"), cell or reach).select("x", "y", "z")]
-    best = asked.select("point_id")
-    for k, found in enumerate(kinds):
-        at = found.distinct().withColumn("point_id", F.struct("x", "y", "z"))
-        near = radius_pairs(asked, at, reach).groupBy("a_id").agg(F.min(F.struct(F.sqrt("d2").alias("distance"), F.col("b_id").alias("at"))).alias(f"m{k}"))
-        best = best.join(near, best["point_id"] == near["a_id"], "left").drop("a_id")
+    places = [f.distinct().select(F.struct(F.lit(k).alias("k"), "x", "y", "z").alias("point_id"), "x", "y", "z") for k, f in enumerate(kinds)]
+    at = functools.reduce(DataFrame.unionByName, places)
+    # One join for all kinds.  The side that goes to 27 buckets is the one with fewer rows.
+    if asked.count() > pts.count():
+        near = radius_pairs(at, asked, reach).select(F.col("b_id").alias("point_id"), F.col("a_id").alias("at"), "d2")
+    else:
+        near = radius_pairs(asked, at, reach).select(F.col("a_id").alias("point_id"), F.col("b_id").alias("at"), "d2")
+    found = F.struct(F.sqrt("d2").alias("distance"), "at")
+    best = near.groupBy("point_id").agg(*[F.min(F.when(F.col("at.k") == k, found)).alias(f"m{k}") for k in range(len(kinds))])
     kept = F.col("m0")
     kind = F.when(F.col("m0").isNotNull(), F.lit("point"))
     for k, name in ((1, "endpoint"), (2, "midpoint"), (3, "intersection")):

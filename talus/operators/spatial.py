@@ -10,7 +10,11 @@ from ..shared import components
 
 
 def radius_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    """Pairs (a_id, b_id, d2) within the radius: b goes to its bucket, a to its bucket and the 26 around it."""
+    """Pairs (a_id, b_id, d2) within the radius: b goes to its bucket, a to its bucket and the 26 around it.
+
+    Both sides are shuffled: Spark takes the rows after `explode` for no more than those before, and would send 27 times
+    what it allows to be broadcast through the driver.
+    """
     key = [E.cell(F.col(c), radius).alias(f"k{c}") for c in "xyz"]
     right = b.select(F.col("point_id").alias("b_id"), *[F.col(c).alias(f"b{c}") for c in "xyz"], *key)
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -18,7 +22,7 @@ def radius_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
     for c in "xyz":
         left = left.withColumn("o", F.explode(near)).withColumn(f"k{c}", F.col(f"k{c}") + F.col("o")).drop("o")
     d2 = sum(((F.col(c) - F.col(f"b{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    return left.join(right, ["kx", "ky", "kz"]).select("a_id", "b_id", d2.alias("d2")).where(F.col("d2") <= radius * radius)
+    return left.hint("merge").join(right, ["kx", "ky", "kz"]).select("a_id", "b_id", d2.alias("d2")).where(F.col("d2") <= radius * radius)
 
 
 def radius_counts(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:

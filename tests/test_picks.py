@@ -30,6 +30,21 @@ def test_snaps_prefer_points(spark):
     assert got == {1: ("point", 0.0, 0.0, 0.5), 2: ("midpoint", 5.0, 0.5, 0.0), 3: ("midpoint", 5.0, 0.5, 0.0), 5: ("intersection", 2.5, 0.5, 1.0)}
 
 
+def test_snaps_do_not_broadcast_exploded_rows(spark, tmp_path):
+    """The files are far under the broadcast limit, but 27 rows went to the driver for each of theirs."""
+    spark.range(20000).selectExpr("id AS point_id", "cast(id % 83 AS double) AS x", "id / 1000 AS y", "2.0D AS z").write.parquet(f"{tmp_path}/asked")
+    spark.range(900).selectExpr("id % 83 + 0.25D AS x", "id / 50 AS y", "2.0D AS z").write.parquet(f"{tmp_path}/pts")
+    asked, pts = spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/pts")
+    lines = spark.createDataFrame([(1, i, float(i), 5.0 + i % 7, 2.0) for i in range(80)], "line int, i int, x double, y double, z double")
+    few, many = Q.snapped(asked, pts, lines, 1.5), Q.snapped(asked.where("point_id < 500"), pts, lines, 1.5)
+    for df in (few, many):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.split("\n") if "Join" in line and "kz" in line]
+        assert joins and all("SortMergeJoin" in line for line in joins)
+    some = {r.point_id: tuple(r) for r in few.where("point_id < 500").collect()}
+    assert {r.point_id: tuple(r) for r in many.collect()} == some and len(some) > 100
+
+
 def test_lasso_volume(spark):
     rows = [(i, float(i % 11), float(i // 11), 5.0 if i % 11 < 5 else 7.0) for i in range(121)]
     df = spark.createDataFrame(rows, "point_id long, x double, y double, z double")
