@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from ._base import components, own, table, written
+from ._base import among, components, own, table, written
 
 #: Words to a shingle, least similarity, values of a MinHash embedding, chance that a true pair is found.
 WORDS, SIMILARITY, VALUES, RECALL = 5, 0.8, 64, 0.9999
@@ -185,16 +185,20 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
             low = (_bytes(b.column("sig"), VALUES, "<u4") & 0xFF).astype(np.uint8)
             yield b.drop_columns(["sig"]).append_column("low", pa.array([x.tobytes() for x in low], pa.binary()))
 
-    def with_sig(rows: DataFrame) -> DataFrame:
-        return rows.join(classes.select(F.col("c").alias("k"), "sig"), F.col("c") == F.col("k")).drop("k")
+    def with_sig(rows: DataFrame, c: str = "c", sig: str = "sig") -> DataFrame:
+        """Only embeddings that rows ask for move, each 256 bytes: few classes are in large buckets, fewer are pivots."""
+        wanted = among(classes.select(F.col("c").alias("k"), F.col("sig").alias(sig)), rows.select(F.col(c).alias("k")), "k")
+        return rows.join(wanted, F.col(c) == F.col("k")).drop("k")
 
     def with_low(rows: DataFrame) -> DataFrame:
         lows = classes.select(F.col("c").alias("k"), "sig").mapInArrow(W.lean(low_bytes), "k long, low binary")
         return rows.join(lows, F.col("c") == F.col("k")).drop("k")
 
     def sized(rows: DataFrame) -> DataFrame:
-        many = rows.groupBy("node").agg(F.count("*").alias("size"), F.min_by("c", F.xxhash64("c", "node")).alias("pivot")).where("size > 1")
-        return written(rows.join(many.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).drop("at"), "nodes")
+        """Rows of nodes that hold more than one, by one shuffle.  No node is hot: a class has 1 / similarity rows in each run."""
+        node = Window.partitionBy("node")
+        size, pivot = F.count("*").over(node), F.min_by("c", F.xxhash64("c", "node")).over(node)
+        return written(rows.select("node", "c", size.alias("size"), pivot.alias("pivot")).where("size > 1"), "nodes")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,7 +206,7 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
                 same = _bytes(b.column("sig"), VALUES, "<u4") == _bytes(b.column("psig"), VALUES, "<u4")
                 yield b.drop_columns(["psig"]).append_column("s", pa.array(same.mean(1)))
 
-    rows = sized(classes.select("c", "sig").mapInArrow(W.lean(split_roots), "node long, c long").distinct())
+    rows = sized(classes.select("c", "sig").mapInArrow(W.lean(split_roots), "node long, c long"))
     edges = []
     for level in range(depth + 1):
         small = with_low(rows.where(F.col("size") <= leaf).select("node", "c")).withColumn("block", F.lit(0))
@@ -211,14 +215,14 @@ def candidates(classes: DataFrame, similarity: float, recall: float, leaf: int =
         if big.isEmpty():
             break
         # Whoever agrees with the pivot is of its component already; its core is done, as no others can link to it.
-        pivots = big.select(F.col("pivot").alias("p")).distinct().join(classes.select(F.col("c").alias("k"), F.col("sig").alias("psig")), F.col("p") == F.col("k")).drop("k")
+        pivots = with_sig(big.select(F.col("pivot").alias("p")).distinct(), "p", "psig")
         seen = with_sig(big.select("node", "c", "pivot")).join(pivots, F.col("pivot") == F.col("p")).select("node", "c", "pivot", "sig", "psig")
         seen = written(seen.mapInArrow(W.lean(agree), "node long, c long, pivot long, sig binary, s double"), "seen")
         edges.append(seen.where((F.col("s") >= LOOSE) & (F.col("c") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct())
         open_nodes = seen.where(F.col("s") < LOOSE).select(F.col("node").alias("at")).distinct()
         todo = seen.where(F.col("s") < CORE).join(open_nodes, F.col("node") == F.col("at"), "left_semi")
         if level < depth:
-            rows = sized(todo.select("node", "c", "sig").mapInArrow(W.lean(split), "node long, c long").distinct())
+            rows = sized(todo.select("node", "c", "sig").mapInArrow(W.lean(split), "node long, c long"))
             continue
         # The rest goes in pairs of blocks, so that no bucket is cut short whatever its size.
         blocks = todo.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).withColumnRenamed("node", "at")
@@ -256,6 +260,8 @@ def verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
     top, all_of = round(similarity * 1000), 1000 + round(similarity * 1000)
     out: list[list] = [[], [], []]
     for t in grouped(batches, ["component", "i", "j"]):
+        c = t.column("c").to_numpy()
+        t = t.filter(pa.array(np.r_[True, c[1:] != c[:-1]]))  # rows that repeat key and text come once from each task
         c, mult, part = (t.column(x).to_numpy() for x in ("c", "mult", "part"))
         sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets], np.int64)
@@ -335,6 +341,8 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
     member = member.join(sizes, F.col("component") == F.col("of")).withColumn("part", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     few = written(member.select("first", F.col("rid").alias("first_rid"), "name", "c", "mult", "component", "blocks", "part"), "members")
     wanted = ["c", "name", "mult", "component", "blocks", "part"]
+    # Texts that no member is read from stay where they are: the join would move them whole.
+    rows = among(rows, few.select(F.col("first").alias("key"), F.col("first_rid").alias("rid")), "key", "rid")
     keyed = rows.join(few.where("first IS NOT NULL"), (F.col("key") == F.col("first")) & (F.col("rid") == F.col("first_rid"))).select(*wanted, "text")
     # Rows without a key are found by their text's hash; copies among them go before their texts are read.
     no_key = rows.where("key IS NULL").groupBy("rid").agg(F.min("text").alias("text"), F.max("text").alias("last"))
@@ -347,15 +355,20 @@ def ngram_join(df: DataFrame, similarity: float = SIMILARITY, recall: float = RE
 
         from .bpe import slices
 
+        done: set[int] = set()  # a key and text may repeat
         for b in slices(batches):
             keys, counts = shingles(b.column("words"))
             ends = np.r_[0, np.cumsum(counts)]
             raw = [keys[ends[i] : ends[i + 1]].astype("<u8").tobytes() for i in range(len(counts))]
             right = [xxhash.xxh3_128_digest(x) == y for x, y in zip(raw, b.column("name").to_pylist(), strict=True)]  # a repeated key has other texts too
+            for k, c in enumerate(b.column("c").to_pylist()):
+                right[k] = right[k] and c not in done
+                if right[k]:
+                    done.add(c)
             cols = {x: b.column(x) for x in ("c", "mult", "component", "blocks", "part")} | {"shingles": pa.array(raw, pa.binary())}
             yield pa.RecordBatch.from_pydict(cols).filter(pa.array(right))
 
-    found = written(sources.mapInArrow(W.lean(sets), "c long, mult long, component long, blocks int, part int, shingles binary").dropDuplicates(["c"]), "sets")
+    found = sources.mapInArrow(W.lean(sets), "c long, mult long, component long, blocks int, part int, shingles binary")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = found.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("part", "x")).withColumn("j", F.greatest("part", "x"))
     tasks = tasks.select("component", "i", "j", "c", "mult", "part", "shingles").repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "c")

@@ -107,3 +107,34 @@ def test_deep_paths_keep_the_recall(spark):
     edges = J.candidates(classes, 0.8, 0.9, leaf=1).where("abs(a - b) = 1 AND floor(a / 2) = floor(b / 2)")
     found = edges.selectExpr("floor(a / 2) AS pair").distinct().count()
     assert found >= 900
+
+
+def test_texts_that_link_with_nothing_stay_where_they_are(spark):
+    """Only the texts of classes that may link go through a shuffle, and each set goes once to each block pair."""
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(600)) for _ in range(600)]
+    data = [*enumerate(texts), (600, texts[0] + " more"), (None, texts[1] + " more"), (601, texts[2]), (601, texts[2])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    moved = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        linked = sorted(((r["doc_id"], r["n_links"], r["class_id"]) for r in rows(J.ngram_join(df)) if r["n_links"]), key=str)
+        assert linked == [(0, 1, 0), (1, 1, 1), (2, 2, 2), (600, 1, 0), (601, 2, 2), (601, 2, 2), (None, 1, 1)]
+        assert moved() - before < sum(len(t) for _, t in data) / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_among_keeps_all_members(spark):
+    from pyspark.sql import functions as F
+
+    from talus.shared import among
+
+    rows_ = spark.range(100_000).selectExpr("if(id % 10 = 0, null, id) AS a", "id % 7 AS b").repartition(4)
+    members = rows_.where("b = 3 AND (a % 5 = 1 OR a IS NULL)").distinct()
+    kept = among(rows_, members, "a", "b")
+    assert kept.columns == ["a", "b"] and kept.where("b = 3 AND (a % 5 = 1 OR a IS NULL)").count() == rows_.where("b = 3 AND (a % 5 = 1 OR a IS NULL)").count()
+    assert kept.count() < 10_000
+    assert among(rows_, members.where(F.lit(False)), "a", "b").count() == 0
