@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,9 +17,6 @@ from .bpe import slices
 
 DIMS, BITS, HASHED = 3, 16, 512
 
-_PLAIN = re.compile(r" [^\W\d_]+", re.ASCII)
-
-
 class WordEncoder:
     """Ids of words by a tokenizer file whose pre-tokenizer splits text by the given pattern."""
 
@@ -33,11 +29,13 @@ class WordEncoder:
     def encode(self, words: list[str]) -> list[pa.Array]:
         """Per word: its ids as little-endian unsigned 32-bit numbers."""
         out: list = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if _PLAIN.fullmatch(w)]  # joined, they split into the same words again
+        plain = [i for i, w in enumerate(words) if w[:1] == " " and w[1:].isalpha()]  # joined, they split into the same words again
         for at in range(0, len(plain), 1000):
             group = plain[at : at + 1000]
             e = self.tokenizer.encode("".join(words[i] for i in group), add_special_tokens=False)
             ids, own_word = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            if own_word[-1] != len(group) - 1:  # more words: a letter here that is none to the tokenizer's pattern
+                continue
             ends = np.searchsorted(own_word, np.arange(len(group) + 1))
             raw = ids.tobytes()
             for k, i in enumerate(group):

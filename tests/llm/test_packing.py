@@ -64,3 +64,33 @@ def test_equal_texts_are_neighbours(spark):
     got = packing.pack(df, FILE, P.PATTERN, length=512).collect()
     order = [r.doc_id % 2 for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)) if r.start == 0]
     assert sum(a != b for a, b in zip(order, order[1:])) == 1
+
+
+def test_words_of_any_letters_are_encoded_together():
+    """One call for a thousand words of any script; a letter that the tokenizer's pattern knows as none changes nothing."""
+    encoder = packing.WordEncoder(FILE)
+    alone, calls = encoder.tokenizer, []
+
+    class Counted:
+        def encode(self, *a, **k):
+            return alone.encode(*a, **k)
+
+        def encode_batch(self, words, **k):
+            calls.extend(words)
+            return alone.encode_batch(words, **k)
+
+    encoder.tokenizer = Counted()
+    ids = lambda words: [np.array(alone.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    words = [f" {a}\u0436{b}\u00e9" for a in "\u0430\u0431\u0432\u0433\u00f6\u00df" for b in "abcd\u4e2d\u6587"]
+    assert encoder.encode(words)[0].to_pylist() == ids(words) and not calls
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()][::5]
+    words = [" a" + c + "b" for c in letters] + [" ", " a1", " \u0661", "\u0436", " a\u0301", " _", "  ", " a b"]
+    assert encoder.encode(words)[0].to_pylist() == ids(words)
+
+    class Unknowing(Counted):  # splits after each z, as if z were no letter
+        def encode(self, text, **k):
+            return alone.encode(text.replace("z", "z."), **k)
+
+    encoder.tokenizer = Unknowing()
+    words = [" az\u0436", " b\u0436"]
+    assert encoder.encode(words)[0].to_pylist() == ids(words)
